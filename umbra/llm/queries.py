@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from umbra.llm.common import table
 from umbra.llm.sharding import shard_by_bytes
+from umbra.llm.simhash import near_duplicates
 
 N_SHARDS = 8
 
@@ -18,6 +19,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_sharding": op1_sharding}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_duplicates(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op10_simhash": op10_simhash,
+}
 
 ORACLE_SQL: dict[str, str] = {}
