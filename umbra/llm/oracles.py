@@ -51,3 +51,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        round(host_rate, 6) AS host_rate
 FROM j JOIN rate ON j.source IS NOT DISTINCT FROM rate.source
 """
+
+
+def licences(templates: tuple[tuple[str, str], ...], threshold: float) -> str:
+    """Every unit against every template, without bounds or key words."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(templates))
+    norm = r"trim(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+    grams = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+    return f"""
+WITH t AS (
+  SELECT i, licence, {grams.format("w")} AS b
+  FROM (SELECT i, licence, string_split({norm.format("x")}, ' ') AS w FROM (VALUES {values}) v(i, licence, x))),
+u AS (
+  SELECT DISTINCT doc_id, list_sort({grams.format("w")}) AS b FROM (
+    SELECT doc_id, string_split({norm.format("u")}, ' ') AS w FROM (
+      SELECT doc_id, unnest(list_concat([text], list_concat(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), string_split(text, chr(10))))) AS u
+      FROM documents))),
+s AS (
+  SELECT doc_id, u.b AS ub, i, licence, 2.0::DOUBLE * len(list_intersect(u.b, t.b)) / (len(u.b) + len(t.b)) AS dice
+  FROM u JOIN t ON len(u.b) BETWEEN 0.7 * len(t.b) AND 1.4 * len(t.b)),
+m AS (SELECT * FROM s WHERE dice >= {threshold}),
+b AS (SELECT doc_id, arg_max(struct_pack(licence, i), struct_pack(dice, j := -i)) AS x, max(dice) AS dice, count(DISTINCT ub) AS n FROM m GROUP BY doc_id)
+SELECT documents.doc_id, x.licence AS licence, x.i::INTEGER AS template, round(dice, 6) AS dice, coalesce(n, 0)::BIGINT AS n_matches
+FROM documents LEFT JOIN b ON documents.doc_id = b.doc_id
+"""

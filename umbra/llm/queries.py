@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.llm.common import table
+from umbra.llm.licences import TEMPLATES, THRESHOLD, scan
 from umbra.llm.neighbours import nearest
-from umbra.llm.oracles import QUALITY_RULES
+from umbra.llm.oracles import QUALITY_RULES, licences
 from umbra.llm.packing import pack
 from umbra.llm.quality_rules import judge
 from umbra.llm.sharding import shard_by_bytes
@@ -40,6 +41,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -53,8 +58,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
     "op6_packing": op6_packing,
+    "op7_licences": op7_licences,
     "op9_neighbours": op9_neighbours,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_RULES}
+ORACLE_SQL: dict[str, str] = {
+    "op2_quality_rules": QUALITY_RULES,
+    "op7_licences": licences(TEMPLATES, THRESHOLD),
+}
