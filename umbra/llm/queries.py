@@ -13,6 +13,7 @@ from umbra.llm.neighbours import nearest
 from umbra.llm.oracles import QUALITY_RULES, licences
 from umbra.llm.packing import pack
 from umbra.llm.quality_rules import judge
+from umbra.llm.sentencepieces import decode, encode
 from umbra.llm.sharding import shard_by_bytes
 from umbra.llm.simhash import near_duplicates
 
@@ -45,6 +46,20 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).withColumn("dice", F.round("dice", 6))
 
 
+def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the ids' number and checksum, and whether decoding them gives the text back."""
+    model = tokenizer("piece_bpe_32k.model")
+    out = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    return out.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
+        F.crc32("ids").alias("ids_crc32"),
+        "n_chunks",
+        F.octet_length("decoded").cast("long").alias("decoded_bytes"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"))
 
@@ -59,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op6_packing": op6_packing,
     "op7_licences": op7_licences,
+    "op8_sentencepieces": op8_sentencepieces,
     "op9_neighbours": op9_neighbours,
     "op10_simhash": op10_simhash,
 }
