@@ -235,6 +235,7 @@ def encode(
     with open(model_path, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file, 0.5 MB
     rows = inputs(df, doc_id=(id_col, "long"), text=(text_col, "string"))
+    giant = max(giant, 1)  # an empty text has no space mark before it
 
     def whole(iterator):
         import pyarrow as pa
