@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.llm.common import table
+from umbra.llm.language import identify, page_inputs
 from umbra.llm.licences import TEMPLATES, THRESHOLD, scan
 from umbra.llm.neighbours import nearest
 from umbra.llm.oracles import QUALITY_RULES, licences
@@ -38,6 +39,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *counts, "base_failed", "kept", F.round("host_rate", 6).alias("host_rate"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents")).withColumn("confidence", F.round("confidence", 6))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over web pages, with the markup's language and the address's suffix."""
+    return identify(page_inputs(table(spark, sf_dir, "pages"))).withColumnRenamed("doc_id", "page_id").withColumn("confidence", F.round("confidence", 6))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -72,6 +82,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
+    "op3_language": op3_language,
+    "language_of_pages": language_of_pages,
     "op6_packing": op6_packing,
     "op7_licences": op7_licences,
     "op8_sentencepieces": op8_sentencepieces,
