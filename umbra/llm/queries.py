@@ -13,6 +13,7 @@ from umbra.llm.licences import TEMPLATES, THRESHOLD, scan
 from umbra.llm.neighbours import nearest
 from umbra.llm.oracles import QUALITY_RULES, licences
 from umbra.llm.packing import pack
+from umbra.llm.quality_model import score, train
 from umbra.llm.quality_rules import judge
 from umbra.llm.sentencepieces import decode, encode
 from umbra.llm.sharding import shard_by_bytes
@@ -48,6 +49,11 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(page_inputs(table(spark, sf_dir, "pages"))).withColumnRenamed("doc_id", "page_id").withColumn("confidence", F.round("confidence", 6))
 
 
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_language": op3_language,
     "language_of_pages": language_of_pages,
+    "op5_quality_model": op5_quality_model,
     "op6_packing": op6_packing,
     "op7_licences": op7_licences,
     "op8_sentencepieces": op8_sentencepieces,
