@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from umbra.llm.common import table
 from umbra.llm.language import identify, page_inputs
 from umbra.llm.licences import TEMPLATES, THRESHOLD, scan
+from umbra.llm.line_dedup import line_classes
 from umbra.llm.neighbours import nearest
 from umbra.llm.oracles import QUALITY_RULES, licences
 from umbra.llm.packing import pack
@@ -49,6 +50,10 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(page_inputs(table(spark, sf_dir, "pages"))).withColumnRenamed("doc_id", "page_id").withColumn("confidence", F.round("confidence", 6))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score(docs, train(docs, table(spark, sf_dir, "labels")))
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_language": op3_language,
     "language_of_pages": language_of_pages,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality_model": op5_quality_model,
     "op6_packing": op6_packing,
     "op7_licences": op7_licences,
