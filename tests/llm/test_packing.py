@@ -24,14 +24,16 @@ def plain(text):
 @settings(max_examples=400, deadline=None)
 @given(st.text(st.sampled_from("ab Z9'.,\n\t\x1c\xa0　é😀<|>!  s"), max_size=40))
 def test_words_give_the_ids_of_the_whole_text(text):
-    assert np.frombuffer(OWN.ids(text), "<u4").tolist() == plain(text)
+    texts = [text, "", text[::-1], " a" + text]
+    assert [np.frombuffer(i, "<u4").tolist() for i in OWN.ids(texts)] == list(map(plain, texts))
 
 
 def test_full_cache(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_WORDS", 3)
     own = packing.WordEncoder(open(PATH, encoding="utf-8").read())
     for text in ["a b c d e f", "f e d", "x y a b", "a<|endoftext|>b <|endoftext|>"]:
-        assert np.frombuffer(own.ids(text), "<u4").tolist() == plain(text)
+        assert np.frombuffer(own.ids([text])[0], "<u4").tolist() == plain(text)
+    assert list(packing.runs(["ab", "c", "", "def", "g"], 3)) == [(0, 2), (2, 4), (4, 5)] and list(packing.runs([], 3)) == []
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 8, 9, 16, 31, 100])

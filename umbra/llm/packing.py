@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from umbra.llm.common import arrow_batches, cut, inputs
 
 #: Encodings that a worker keeps, by word; then it starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
+#: Characters of text that are encoded at a time.
+TEXT_RUN = 1 << 20
 #: A single space between two characters that are not white space: byte-level BPE of this
 #: vocabulary's pattern never joins what stands before it with what follows from it on.
 _GAP = re.compile(r"(?<=\S) (?=\S)")
@@ -31,35 +34,76 @@ _GAP = re.compile(r"(?<=\S) (?=\S)")
 class WordEncoder:
     """A ``tokenizers`` byte-level BPE whose encodings of space-parted words are kept.
 
-    ``ids(text)`` are the library's ids of the whole text, as little-endian unsigned
-    32-bit integers.
+    ``ids(texts)`` are the library's ids of each whole text, as little-endian unsigned
+    32-bit integers.  The words of several texts that aren't kept yet are encoded in one
+    call and told apart by the bytes their ids stand for.
     """
 
     def __init__(self, tokenizer_json: str):
+        import numpy as np
         from tokenizers import Tokenizer
 
-        self._one = Tokenizer.from_str(tokenizer_json)
+        self._one = one = Tokenizer.from_str(tokenizer_json)
         self._kept: dict[str, bytes] = {}
+        special = {i: len(t.content.encode()) for i, t in one.get_added_tokens_decoder().items()}
+        # Byte-level pieces spell each byte as one character.
+        self._bytes = np.zeros(max([*one.get_vocab().values(), *special]) + 1, dtype=np.int64)
+        for piece, i in one.get_vocab().items():
+            self._bytes[i] = special.get(i, len(piece))
 
-    def _encode(self, words: list[str]) -> None:
+    def _encode(self, text: str):
         import numpy as np
 
-        if len(self._kept) + len(words) > CACHE_WORDS:
-            self._kept.clear()
-        for w in words:
-            self._kept[w] = np.array(self._one.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.array(self._one.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _keep(self, words: set[str]) -> None:
+        """Words begin with a space, but for those that begin a text."""
+        import numpy as np
 
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        first, *rest = _GAP.split(text)
-        words = [first, *(f" {w}" for w in rest)]
+        spaced = [w for w in words if w[:1] == " " and not w[1:2].isspace()]
+        for w in words.difference(spaced):
+            self._kept[w] = self._encode(w).tobytes()
+        if not spaced:
+            return
+        ids = self._encode("".join(spaced))
+        ends = np.cumsum(np.fromiter((len(w.encode()) for w in spaced), dtype=np.int64, count=len(spaced)))
+        stops = (4 * (np.searchsorted(np.cumsum(self._bytes[ids]), ends) + 1)).tolist()
+        flat, start = ids.tobytes(), 0
+        for w, stop in zip(spaced, stops):
+            self._kept[w] = flat[start:stop]
+            start = stop
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        parts = []
+        for text in texts:
+            first, *rest = _GAP.split(text) if text else ("",)
+            parts.append([first, *[f" {w}" for w in rest]])
         kept = self._kept
-        new = {w for w in words if w not in kept}
+        new = set().union(*parts).difference(kept)
         if new:
-            self._encode(list(new | set(words)) if len(kept) + len(new) > CACHE_WORDS else list(new))
-            kept = self._kept
-        return b"".join([kept[w] for w in words])
+            if len(kept) + len(new) > CACHE_WORDS:
+                kept.clear()
+                new = set().union(*parts)
+            self._keep(new)
+        return [b"".join([kept[w] for w in words]) for words in parts]
+
+
+@lru_cache(maxsize=1)
+def encoder(tokenizer_json: str) -> WordEncoder:
+    """One for all tasks of a worker."""
+    return WordEncoder(tokenizer_json)
+
+
+def runs(texts: list[str], size: int = TEXT_RUN):
+    """(from, to) of runs of texts of about ``size`` characters each, at least one text."""
+    start, total = 0, 0
+    for i, t in enumerate(texts):
+        total += len(t)
+        if total >= size:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
 
 
 def pieces(n: int, max_len: int) -> list[tuple[int, int]]:
@@ -97,20 +141,22 @@ def pack(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        encoder = WordEncoder(shared.value)
+        words, end = encoder(shared.value), np.uint32(end_id).tobytes()
         task, counts = TaskContext.get().partitionId(), [0] * max_len.bit_length()
         for batch, (docs, texts) in arrow_batches(iterator, ["doc_id", "_t"]):
+            texts = [t or "" for t in texts]
             out: list[list] = [[] for _ in range(8)]
-            for doc, text in zip(docs, texts):
-                ids = encoder.ids(text or "") + np.uint32(end_id).tobytes()
-                n = len(ids) // 4
-                for start, length in pieces(n, max_len):
-                    own = ids[4 * start : 4 * (start + length)]
-                    bucket = length.bit_length() - 1
-                    row = (doc, start, length, zlib.crc32(own), n, counts[bucket], task, np.frombuffer(own, "<u4") if with_ids else None)
-                    for column, value in zip(out, row):
-                        column.append(value)
-                    counts[bucket] += 1
+            for a, b in runs(texts):
+                for doc, ids in zip(docs[a:b], words.ids(texts[a:b])):
+                    ids += end
+                    n = len(ids) // 4
+                    for start, length in pieces(n, max_len):
+                        own = ids[4 * start : 4 * (start + length)]
+                        bucket = length.bit_length() - 1
+                        row = (doc, start, length, zlib.crc32(own), n, counts[bucket], task, np.frombuffer(own, "<u4") if with_ids else None)
+                        for column, value in zip(out, row):
+                            column.append(value)
+                        counts[bucket] += 1
             kinds = [pa.int64()] * 6 + [pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
 
