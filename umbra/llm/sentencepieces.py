@@ -194,6 +194,12 @@ class Pieces:
         return np.array([i for s, e in reversed(pieces) for i in self.ids(x[s:e])], dtype="<u4").tobytes()
 
 
+@lru_cache(maxsize=1)
+def loaded(model: bytes) -> Pieces:
+    """One for all tasks of a worker."""
+    return Pieces(model)
+
+
 def starts_word(x: str, at: int) -> bool:
     return 0 < at < len(x) and x[at] == SPACE and x[at - 1] != SPACE
 
@@ -240,7 +246,7 @@ def encode(
     def whole(iterator):
         import pyarrow as pa
 
-        pieces = Pieces(model.value)
+        pieces = loaded(model.value)
         for batch, (texts,) in arrow_batches(iterator, ["text"]):
             ids = pa.array([None if t is None else pieces.encode(t) for t in texts], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids, pa.array([0] * len(texts), pa.int64())], ["doc_id", "text", "ids", "n_chunks"])
@@ -267,7 +273,7 @@ def _giants(rows: DataFrame, model, chunk: int) -> DataFrame:
     def transfers(iterator):
         import pandas as pd
 
-        pieces = Pieces(model.value)
+        pieces = loaded(model.value)
         for pdf in iterator:
             ms = [pieces.transfer(*r) for r in zip(pdf["x"], pdf["a"], pdf["b"], pdf["first"], pdf["last"])]
             yield pdf.assign(height=[m.shape[0] for m in ms], m=[m.tobytes() for m in ms])
@@ -311,7 +317,7 @@ def _giants(rows: DataFrame, model, chunk: int) -> DataFrame:
         known = cut(down.applyInPandas(lambda pdf: handed(pdf), "row long, n long, enter long, leave long, before long"))
 
     def traced(iterator):
-        pieces = Pieces(model.value)
+        pieces = loaded(model.value)
         for pdf in iterator:
             ids = [pieces.trace(*r) for r in zip(*(pdf[c] for c in ("x", "a", "b", "first", "last", "enter", "leave")))]
             yield pdf[["row", "n", "before"]].assign(ids=ids)
@@ -340,7 +346,7 @@ def decode(df: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
     def run(iterator):
         import pyarrow as pa
 
-        pieces = Pieces(model.value)
+        pieces = loaded(model.value)
         for batch, (ids,) in arrow_batches(iterator, [ids_col]):
             out = pa.array([None if i is None else pieces.decode(i) for i in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, "decoded"])
