@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from umbra.llm.common import arrow_batches, cut, inputs
 
 #: Encodings that a worker keeps, by word; then it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: Characters of text that are encoded at a time.
 TEXT_RUN = 1 << 20
 #: A single space between two characters that are not white space: byte-level BPE of this
@@ -35,8 +35,8 @@ class WordEncoder:
     """A ``tokenizers`` byte-level BPE whose encodings of space-parted words are kept.
 
     ``ids(texts)`` are the library's ids of each whole text, as little-endian unsigned
-    32-bit integers.  The words of several texts that aren't kept yet are encoded in one
-    call and told apart by the bytes their ids stand for.
+    32-bit integers.  The new words of several texts are encoded in one call and told
+    apart by the bytes their ids stand for.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -44,7 +44,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self._one = one = Tokenizer.from_str(tokenizer_json)
-        self._kept: dict[str, bytes] = {}
+        self._firsts: dict[str, bytes] = {}  # of words that begin a text
+        self._kept: dict[str, bytes] = {}  # of words after a space, with that space
         special = {i: len(t.content.encode()) for i, t in one.get_added_tokens_decoder().items()}
         # Byte-level pieces spell each byte as one character.
         self._bytes = np.zeros(max([*one.get_vocab().values(), *special]) + 1, dtype=np.int64)
@@ -56,36 +57,37 @@ class WordEncoder:
 
         return np.array(self._one.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _keep(self, words: set[str]) -> None:
-        """Words begin with a space, but for those that begin a text."""
+    def _keep(self, words: list[str]) -> None:
+        """The ids of `` word`` for each word; words are neither empty nor begin or end with white space."""
         import numpy as np
 
-        spaced = [w for w in words if w[:1] == " " and not w[1:2].isspace()]
-        for w in words.difference(spaced):
-            self._kept[w] = self._encode(w).tobytes()
-        if not spaced:
-            return
-        ids = self._encode("".join(spaced))
-        ends = np.cumsum(np.fromiter((len(w.encode()) for w in spaced), dtype=np.int64, count=len(spaced)))
+        ids = self._encode("".join([f" {w}" for w in words]))
+        ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in words), dtype=np.int64, count=len(words)))
         stops = (4 * (np.searchsorted(np.cumsum(self._bytes[ids]), ends) + 1)).tolist()
         flat, start = ids.tobytes(), 0
-        for w, stop in zip(spaced, stops):
+        for w, stop in zip(words, stops):
             self._kept[w] = flat[start:stop]
             start = stop
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        parts = []
-        for text in texts:
-            first, *rest = _GAP.split(text) if text else ("",)
-            parts.append([first, *[f" {w}" for w in rest]])
-        kept = self._kept
+        kept, firsts = self._kept, self._firsts
+        parts = [_GAP.split(t) if t else [""] for t in texts]
+        heads = [p.pop(0) for p in parts]
+        tails = [p.pop() if p else None for p in parts]  # may end in white space
+        for h in heads:
+            if h not in firsts:
+                if len(firsts) >= CACHE_WORDS // 10:
+                    firsts.clear()
+                firsts[h] = self._encode(h).tobytes() if h else b""
+        heads = [firsts[h] if h in firsts else self._encode(h).tobytes() for h in heads]
         new = set().union(*parts).difference(kept)
         if new:
             if len(kept) + len(new) > CACHE_WORDS:
                 kept.clear()
                 new = set().union(*parts)
-            self._keep(new)
-        return [b"".join([kept[w] for w in words]) for words in parts]
+            self._keep(list(new))
+        tails = [b"" if t is None else kept[t] if t in kept else self._encode(f" {t}").tobytes() for t in tails]
+        return [h + b"".join([kept[w] for w in p]) + t for h, p, t in zip(heads, parts, tails)]
 
 
 @lru_cache(maxsize=1)
