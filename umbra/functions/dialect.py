@@ -24,6 +24,19 @@ _WORD = "[0-9A-Za-z_]"
 _BOUNDARY = f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"
 _INSIDE = f"(?:(?<={_WORD})(?={_WORD})|(?<!{_WORD})(?!{_WORD}))"
 _CLOSERS = {"(": ")", "[": "]", "{": "}", "<": ">"}
+# The members of named classes.
+_POSIX = {
+    "alpha": "A-Za-z",
+    "digit": "0-9",
+    "alnum": "0-9A-Za-z",
+    "upper": "A-Z",
+    "lower": "a-z",
+    "word": "0-9A-Za-z_",
+    "xdigit": "0-9A-Fa-f",
+    "blank": " \\t",
+    "space": "\\s",
+    "punct": "!-\\/:-@\\[-`{-~",
+}
 _KNOWN_FLAGS = "imsxuUDASXJn"
 
 
@@ -90,11 +103,11 @@ class Pattern:
 
     def _java(self) -> str:
         out = []
-        posix = {"alpha": "Alpha", "digit": "Digit", "alnum": "Alnum", "upper": "Upper", "lower": "Lower", "space": "Space", "punct": "Punct", "xdigit": "XDigit", "print": "Print", "graph": "Graph", "cntrl": "Cntrl", "blank": "Blank"}
         for part, inside in self._parts():
             if inside:
                 if m := re.fullmatch(r"\[:(\^?)(\w+):\]", part):
-                    part = f"\\{'P' if m[1] else 'p'}{{{posix[m[2]]}}}" if m[2] in posix else part
+                    part = f"{'^' if m[1] else ''}{_POSIX.get(m[2], part)}"
+                    part = f"[{part}]" if m[1] else part
                 elif part in ("[", "&"):  # Java nests and intersects classes
                     part = "\\" + part
             elif part == "\\b":
@@ -117,6 +130,8 @@ class Pattern:
                     part = "\\Z"
             elif part == "[":
                 part = "\\["
+            elif (m := re.fullmatch(r"\[:(\w+):\]", part)) and m[1] in _POSIX:
+                part = _POSIX[m[1]]
             out.append(part)
         flags = "".join(f for f in "imsx" if f in self.flags)
         lead = "\\A(?:" if "A" in self.flags else ""
