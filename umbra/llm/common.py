@@ -57,7 +57,13 @@ def crc32_of(text: Column) -> Column:
     return F.crc32(F.encode(text, "UTF-8"))
 
 
-def arrow_batches(iterator, columns: list[str]):
-    """The columns of each Arrow record batch as Python lists."""
-    for batch in iterator:
-        yield batch, [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
+def arrow_batches(iterator, columns: list[str], rows: int = 512):
+    """Slices of ``rows`` of the Arrow record batches, with the columns as Python lists.
+
+    A batch has 10,000 rows: as Python objects, with what is made of them, its texts
+    would take several times their size of a worker's memory at once.
+    """
+    for whole in iterator:
+        for i in range(0, max(whole.num_rows, 1), rows):
+            batch = whole.slice(i, rows)
+            yield batch, [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]

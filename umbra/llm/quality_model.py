@@ -221,10 +221,7 @@ def score(df: DataFrame, model: CoTrained, threshold: float = THRESHOLD, id_col:
         import pyarrow as pa
 
         for batch, columns in arrow_batches(iterator, ["_t", "_s", "_g", "_c"]):
-            out, rows = [], list(zip(*columns))
-            for i in range(0, len(rows), 512):
-                out.append(shared.value.scores(_views(rows[i : i + 512])))
-            s = np.concatenate(out) if out else np.zeros((0, 3))
+            s = shared.value.scores(_views(zip(*columns)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, j]) for j in range(3))], ["doc_id", "content_score", "metadata_score", "score"])
 
     rows = inputs(df, doc_id=(id_col, "long"), **_INPUTS).mapInArrow(run, "doc_id long, content_score double, metadata_score double, score double")
