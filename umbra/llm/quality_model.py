@@ -208,9 +208,11 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
     return co_train(split(x), [y for _, y in order if y is not None], split(u))
 
 
-def score(df: DataFrame, model: CoTrained, threshold: float = THRESHOLD, id_col: str = "doc_id") -> DataFrame:
+def score(df: DataFrame, model: CoTrained, threshold: float = THRESHOLD, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of ``df``: doc_id, content_score, metadata_score, score, kept.
 
+    Columns in ``carry`` go along as ``keep_<name>``, so that a filter needs no join.
+
     Scores are probabilities of quality; kept: score is at least ``threshold``, or the
     model is without classes.  Null and empty texts are scored by their metadata and an
     empty content; columns that ``df`` lacks count as missing.
@@ -222,7 +224,10 @@ def score(df: DataFrame, model: CoTrained, threshold: float = THRESHOLD, id_col:
 
         for batch, columns in arrow_batches(iterator, ["_t", "_s", "_g", "_c"]):
             s = shared.value.scores(_views(zip(*columns)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, j]) for j in range(3))], ["doc_id", "content_score", "metadata_score", "score"])
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in kinds]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, j]) for j in range(3)), *kept], ["doc_id", "content_score", "metadata_score", "score", *kinds])
 
-    rows = inputs(df, doc_id=(id_col, "long"), **_INPUTS).mapInArrow(run, "doc_id long, content_score double, metadata_score double, score double")
+    kinds = {f"keep_{c}": (c, df.schema[c].dataType.simpleString()) for c in carry}
+    schema = "doc_id long, content_score double, metadata_score double, score double" + "".join(f", {name} {kind}" for name, (_, kind) in kinds.items())
+    rows = inputs(df, doc_id=(id_col, "long"), **_INPUTS, **kinds).mapInArrow(run, schema)
     return rows.withColumn("kept", (F.col("score") >= threshold) | F.lit(model.views is None))
