@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from umbra.llm.common import arrow_batches, cut, inputs
 
 #: Encodings that a worker keeps, by word; then it starts anew.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Characters of text that are encoded at a time.
 TEXT_RUN = 1 << 20
 #: A single space between two characters that are not white space: byte-level BPE of this
