@@ -103,13 +103,16 @@ def mask_text(value: Column, profile: Profile, key: str = "", text: Text = Text(
     """A string column as a scalar under ``key``, masked."""
     if not profile.enabled:
         return value
-    found = branches(value, key, T.StringType(), profile, text)
-    at = decision(found)
-    out = value
-    for i, b in reversed(list(enumerate(found, 1))):
-        if b.value is not None:
-            out = F.when(at == i, b.value).otherwise(out)
-    return out
+    return chosen(value, [(True if b.when is True else b.when, b.value) for b in branches(value, key, T.StringType(), profile, text)])
+
+
+def chosen(value: Column, cases: list[tuple[Column | bool, Column | None]]) -> Column:
+    """One flat CASE, so that no predicate is evaluated twice; None keeps the value."""
+    out = None
+    for when, new in cases:
+        when, new = F.lit(True) if when is True else when, value if new is None else new
+        out = F.when(when, new) if out is None else out.when(when, new)
+    return value if out is None else out.otherwise(value)
 
 
 def text_matched(value: Column, profile: Profile, key: str = "", text: Text = Text()) -> Column:

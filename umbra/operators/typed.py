@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.operators.keys import is_blocked
-from umbra.operators.rules import BLOCK, KEEP, OVERSIZE, Branch, branches, decision
+from umbra.operators.rules import BLOCK, KEEP, OVERSIZE, Branch, branches, chosen, decision
 from umbra.plans.registry import resolve
 from umbra.profiles import BLOCKED, SAFE, Profile
 
@@ -65,12 +65,13 @@ class Masker:
         if found[0].when is True:
             return self._fixed(found[0], key)
         at, hit = decision(found), [i for i, b in enumerate(found, 1) if b.what != KEEP]
-        out = value
-        for i in reversed(hit):
+        cases = []
+        for i in hit:
             made = found[i - 1].value
             if not isinstance(key, str) and not isinstance(kind, T.StringType):  # an element can't change its type
                 made = F.lit(None).cast(kind)
-            out = F.when(at == i, made).otherwise(out)
+            cases.append((at == i, made))
+        out = chosen(value, cases)  # the mask and its flag share the decision
         keys = [self._key(at == i, key) for i in hit if found[i - 1].what == BLOCK] if self.tracks else []
         return Masked(out, [at.isin(*hit)], keys)
 
