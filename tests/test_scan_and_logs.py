@@ -1,5 +1,6 @@
 """The file source, scans and their reports, log lines, SQL functions and streams."""
 
+import hashlib
 import json
 import os
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from umbra.functions.sql import pattern_hits, register
 from umbra.operators.scanning import report, scan_contents, scan_documents, status_table, summary
 from umbra.profiles import from_config, load
+from umbra.queries import file_source
 from umbra.scan import main
 from umbra.sources.allfiles import collect_files, missing_paths, read_files
 from umbra.streaming.logs import batch_lines, log_lines, tap
@@ -109,3 +111,11 @@ def test_sql_functions(spark):
     assert (row.e, row.c, row.k, row.t, row.n) == (2.0, True, True, "[REDACTED]", None) and json.loads(row.j)["pin"] == "[REDACTED]"
     hits = spark.createDataFrame([("a@b.co 1.2.3.4",)], "t string").select(pattern_hits(F.col("t"), load("strict"))).first()[0]
     assert "email" in hits and "ipv4" in hits and "uuid" not in hits
+
+
+def test_file_source_reads_every_file(spark, tmp_path):
+    sizes = {"small.parquet": 10, "above_a_mebibyte.parquet": (1 << 20) + 1, "above_the_scan_limit.parquet": 10_485_761}
+    for name, n in sizes.items():
+        (tmp_path / name).write_bytes(bytes(n))
+    rows = file_source(spark, str(tmp_path)).collect()
+    assert {r.name: (r.length, r.sha256) for r in rows} == {name: (n, hashlib.sha256(bytes(n)).hexdigest()) for name, n in sizes.items()}

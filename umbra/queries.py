@@ -7,6 +7,7 @@ values with the library, not its code.
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -353,8 +354,8 @@ def scan_status_table(spark, sf_dir):
 
 @query()
 def file_source(spark, sf_dir):
-    """The tables' own files through the file source."""
-    return read_files(spark, [sf_dir], max_size=1 << 20).select(F.substring_index("path", "/", -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    """The tables' own files through the file source, every one whatever its size."""
+    return read_files(spark, [sf_dir], max_size=sys.maxsize).select(F.substring_index("path", "/", -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 # --- logs, custom rules, streams -------------------------------------------------------------
