@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from umbra.llm.common import table
 from umbra.llm.language import identify, page_inputs
 from umbra.llm.licences import TEMPLATES, THRESHOLD, scan
-from umbra.llm.line_dedup import line_classes
+from umbra.llm.line_dedup import PER, line_classes
 from umbra.llm.neighbours import nearest
 from umbra.llm.oracles import QUALITY_RULES, licences
 from umbra.llm.packing import pack
@@ -51,7 +51,7 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(table(spark, sf_dir, "documents")).drop("row")
+    return line_classes(table(spark, sf_dir, "documents"), per=PER).drop("row")
 
 
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
