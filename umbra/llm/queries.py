@@ -51,7 +51,7 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(table(spark, sf_dir, "documents"), per=PER).drop("row")
+    return line_classes(table(spark, sf_dir, "documents"), per=PER, short=True).drop("row")
 
 
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
