@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it was counted and holds no more rows than this.
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when it was counted and holds no more rows, and its numbers
+#: and arrays of numbers no more bytes, than this.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Bytes of an Arrow batch between Spark and Python while ``cut`` runs.
+ARROW_BYTES = 4 << 20
 
 #: The ASCII characters that part words (fixed by the queries' contracts): space and \x09-\x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -18,16 +22,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder serves a local master, as in tests; a
+    cluster's executors would not share it, so there the setting has to be made.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="umbra-")
+
+
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Arrow batches of at most ARROW_BYTES for what runs inside; the session's own bound comes back after it.
+
+    A batch of texts stands in the JVM, in Python, and as Python objects at once.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(ARROW_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the session's checkpoint folder and go on from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset, as in tests on one machine, a temporary folder is used.
+    Steps in Python before the cut run with small batches.  The folder is that of
+    ``shared_folder``; Spark removes a checkpoint after its last use if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="umbra-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    with small_batches(spark):
+        return df.checkpoint(eager=True)
 
 
 def inputs(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
@@ -42,13 +77,16 @@ def inputs(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
 
 
 def join_per_key(rows: DataFrame, per_key: DataFrame, on: str, how: str = "left") -> DataFrame:
-    """Join narrow ``rows`` with a checkpointed table of one row a key.
+    """Join ``rows`` with a checkpointed table of one row a key.
 
-    The table is counted: up to BROADCAST_ROWS rows it is broadcast, beyond that it is
-    a shuffled join whose hot keys adaptive execution splits (one row a key on the
-    right, so splitting the left side copies one row).
+    The table's rows and, as far as it holds numbers, structs and arrays of them, its
+    bytes are counted: up to BROADCAST_ROWS and BROADCAST_BYTES it is broadcast, beyond
+    that it is a merge join whose hot keys adaptive execution splits (one row a key on
+    the right, so splitting the left side copies one row).
     """
-    if per_key.count() <= BROADCAST_ROWS:
+    arrays = [F.coalesce(F.sum(F.size(f.name)), F.lit(0)) for f in per_key.schema if f.dataType.typeName() == "array"]
+    found = per_key.agg(F.count("*").alias("n"), sum(arrays, F.lit(0)).alias("m")).first()
+    if found.n <= BROADCAST_ROWS and 64 * found.n + 24 * found.m <= BROADCAST_BYTES:
         return rows.join(F.broadcast(per_key), on, how)
     return rows.join(per_key.hint("merge"), on, how)
 
@@ -60,8 +98,8 @@ def crc32_of(text: Column) -> Column:
 def arrow_batches(iterator, columns: list[str], rows: int = 512):
     """Slices of ``rows`` of the Arrow record batches, with the columns as Python lists.
 
-    A batch has 10,000 rows: as Python objects, with what is made of them, its texts
-    would take several times their size of a worker's memory at once.
+    As Python objects, with what is made of them, a whole batch would take several
+    times its size of a worker's memory at once.
     """
     for whole in iterator:
         for i in range(0, max(whole.num_rows, 1), rows):
