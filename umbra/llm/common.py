@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.sources.allfiles import shared_folder
+
 #: A side is broadcast only when it was counted and holds no more rows, and its numbers
 #: and arrays of numbers no more bytes, than this.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
@@ -22,20 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Where that is unset a temporary folder serves a local master, as in tests; a
-    cluster's executors would not share it, so there the setting has to be made.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="umbra-")
-
-
 @contextmanager
 def small_batches(spark: SparkSession):
     """Arrow batches of at most ARROW_BYTES for what runs inside; the session's own bound comes back after it.
