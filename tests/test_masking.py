@@ -7,6 +7,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from umbra.operators.document import DocumentMasker, decode, encode, mask_json, mask_text_document
+from umbra.operators.rules import with_masked
+from umbra.operators.scanning import scan_contents, summary
 from umbra.operators.typed import mask_frame
 from umbra.plans.registry import ColumnStrategy, PyStrategy, load_custom, register, unregister
 from umbra.profiles import ALL_RULES, PROFILES, REMOVE, from_config, load
@@ -123,7 +125,7 @@ def test_typed_sizes_and_marks(spark):
     df = spark.sql("select named_struct('a', 1, 'b', 2, 'c', 3) s, named_struct('x', array(1, 2, 3), 'y', 'z') t")
     out = mask_frame(df, profile(max_object_size=2)).first().asDict(True)
     assert out["s"] is None and out["t"] == {"x": None, "y": "z"} and out["_redacted_keys"] == []
-    assert out["_redaction_notes"] == {"s": "[REDACTED] (Array with 3 items)", "t.x": "[REDACTED] (Array with 3 items)"}
+    assert out["_redaction_notes"] == {"s": "[REDACTED] (Object struct with 3 properties)", "t.x": "[REDACTED] (Array with 3 items)"}
     plain = mask_frame(df, profile(mark_redacted=False))
     assert plain.columns == ["s", "t", "_redaction_notes"]
     assert mask_frame(df, profile(enabled=False)).columns == df.columns
@@ -141,6 +143,27 @@ def test_masks_are_pruned_and_narrow(spark):
     assert "Exchange" not in whole and "Python" not in whole
 
 
+def test_masking_a_masked_table(spark):
+    df = spark.sql("select array(1, 2, 3, 4) a, 'x' _redaction_notes, 5 _redacted, array('k') _redacted_keys, 'a@b.co' t")
+    p = profile(max_object_size=3, track_redacted_keys=False)
+    once = mask_frame(df, p)
+    assert once.columns == ["a", "_redacted_keys", "t", "_redacted", "_redaction_notes"]
+    again = mask_frame(once, p)
+    assert sorted(again.columns) == sorted(once.columns) and again.first()._redacted_keys == ["k"]
+    assert mask_frame(once, profile()).columns.count("_redacted_keys") == 1
+
+
+def test_each_pattern_stands_in_a_plan_once(spark):
+    p = load("file_scan")
+    df = spark.createDataFrame([("a@b.co", 1)], "t string, n int")
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(with_masked(df, F.col("t"), p, "m", "f")).count("RLIKE") == 13 + 14
+    assert plan(mask_frame(df, p)).count("RLIKE") == 13 + 14
+    assert plan(summary(scan_contents(df.select(F.col("t").alias("path"), F.col("t").alias("content")), p))).count("RLIKE") == 13 + 14
+    nested = mask_frame(spark.sql("select array(named_struct('m', map('k', array('a@b.co')))) a"), from_config({"strategies": ["regex_patterns"], "patterns": {"e": EMAIL}}))
+    assert plan(nested).count("RLIKE") == 1 and nested.first().asDict(True) == {"a": [{"m": {"k": ["[REDACTED]"]}}], "_redacted": True}
+
+
 KEYS = st.sampled_from(["id", "user_id", "password", "my_token", "note", "A"])
 TEXTS = st.sampled_from(["", "x", "a@b.co", "long " * 12, "a1b2c3d4a1b2c3d4", "é" * 20])
 

@@ -5,7 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from umbra.functions.dialect import parse
+from umbra.functions.dialect import Unsupported, parse, search
 from umbra.functions.entropy import byte_entropy, byte_entropy_native, entropy_of
 from umbra.operators.keys import blocked_column, is_blocked, is_safe
 from umbra.operators.rules import mask_text
@@ -85,10 +85,49 @@ SUBJECTS = ["é555-123-4567", "x\n", "x", "x\r", "x\ny", "a.b", "ab]c", "[[x", "
 def test_both_engines_agree(spark, pattern):
     p = parse(pattern)
     want = [p.found_in(s.encode()) for s in SUBJECTS]
-    rows = spark.createDataFrame(list(enumerate(SUBJECTS)), "i int, s string").select("i", F.col("s").rlike(p.java()).alias("m")).orderBy("i").collect()
+    rows = spark.createDataFrame(list(enumerate(SUBJECTS)), "i int, s string").select("i", search(F.col("s"), p).alias("m")).orderBy("i").collect()
     assert [r.m for r in rows] == want
 
 
+ODD = ["2024 b", "aB", "ab", "a.b", "foo", "xx", "éé", "é", "\u20ac", "a\r\nb", "AbC abC", "jj", "日本", "", "a1", "\u0436", "x\ny\n"]
+
+
+@pytest.mark.parametrize(
+    "pattern",
+    [r"/(?<y>\d{4})/", r"/(?P<y>\d{4})/", r"/\p{L}+/", r"/\p{L}+/u", r"/\p{Lu}b/u", r"/a(?i)b/", r"/(x(?i)A|b)c/", r"/\x{20AC}/u", r"/\R/", r"/\Qa.b\E/", r"/^.{4}$/", r"/^.{2}$/u", r"/(?P<a>x)(?P=a)/", r"/(j)\g{-1}/", r"/(?<q>j)\k<q>/",
+     r"/(?x) a [.] b # quoted/", r"/[[:^ascii:]]{4}/", "/é{2}/", "/[é]$/", r"/\Hb/", r"/^y$/m", r"/\N$/", r"/(?>a+)b/", r"/\ba\B/", r"/\W{3}/"],
+)
+def test_user_patterns_mean_the_same_to_both_engines(spark, pattern):
+    p = parse(pattern)
+    want = [p.found_in(s.encode()) for s in ODD]
+    df = spark.createDataFrame(list(enumerate(ODD)), "i int, s string")
+    assert [r.m for r in df.select("i", search(F.col("s"), p).alias("m")).orderBy("i").collect()] == want
+    raw = df.select("i", search(F.decode(F.encode("s", "UTF-8"), "ISO-8859-1"), p, "ISO-8859-1").alias("m"))  # a file's bytes
+    assert p.unicode or [r.m for r in raw.orderBy("i").collect()] == want
+
+
+def test_bytes_count():
+    found = lambda pattern, text: parse(pattern).found_in(text.encode())
+    assert found("/^.{4}$/", "éé") and not found("/^.{2}$/", "éé") and found("/^.{2}$/u", "éé")
+    assert found(r"/\bx\b/", "éx") and not found(r"/\bx\b/u", "éx")
+
+
+@pytest.mark.parametrize("pattern", [r"/foo\Kbar/", r"/(a)(?(1)b|c)/", r"/(?R)/", "/(*ACCEPT)/", r"/\X/", r"/(?<=a|bc)d/", r"/\p{Greek}/"])
+def test_what_cannot_be_expressed_is_refused_by_name(pattern):
+    with pytest.raises(Unsupported, match="pattern"):
+        from_config({"patterns": {"p": pattern}})
+
+
+def test_invalid_patterns_are_named():
+    with pytest.warns(UserWarning, match="not valid and never matches"):
+        assert from_config({"patterns": {"p": "/(/"}}).patterns == ()
+
+
+def test_literals_that_matches_need():
+    assert [parse(p).needs for p in ("/ab+c/", "/a?bc/", "/(x)yz|q/", "/AB/i", r"{\d+://x}", "/(?:key|token)=/", r"/a(?!bcd)e/")] == ["ab", "bc", "", "", "://x", "=", "a"]
+
+
+@pytest.mark.filterwarnings("ignore:pattern")
 @pytest.mark.parametrize("bad", ["", "abc", "/a", "/(/", "/a/q", "a/b/", "\\a\\", None, 5, "/[/", "1a1"])
 def test_invalid_patterns(bad):
     assert parse(bad) is None
@@ -109,7 +148,8 @@ def test_long_texts_do_not_overflow(spark):
         ("default", "mail a@b.co", True),
         ("default", "555-123-4567", True),
         ("default", "Operation " + "x9Kq2LmZ7vRt4WpY8sDf1GhJ3bNc6", False),  # an unanchored exclusion
-        ("file_scan", "API_KEY=abcdefghijklmnop1234", False),  # patterns heed case
+        ("file_scan", "API_KEY=aaaaaaaaaaaaaaaa", False),  # patterns heed case
+        ("file_scan", "API_KEY=abcdefghijklmnop1234", True),  # 28 different bytes: entropy
         ("file_scan", "api_key=abcdefghijklmnop1234", True),
         ("strict", "       ", True),  # the loose phone pattern
         ("performance", "A" * 32, True),

@@ -1,54 +1,86 @@
-"""SQL functions over the same rules."""
+"""SQL functions over the same rules, as SQL wherever the engine can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.functions.dialect import search
-from umbra.functions.entropy import entropy_of, is_common_bytes
+from umbra.functions.dialect import Pattern, search
+from umbra.functions.entropy import byte_entropy_udf
 from umbra.operators.document import DocumentMasker, mask_text_document
-from umbra.operators.keys import is_blocked
-from umbra.profiles import Profile, load
+from umbra.operators.keys import blocked_sql, is_blocked, is_safe
+from umbra.plans.registry import resolve
+from umbra.profiles import BLOCKED, ENTROPY, HEX_EXCLUSION, HEX_LENGTH, LARGE_STRING, REGEX, SAFE, Profile, load
+
+
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _found(spark: SparkSession, value: str, pattern: Pattern) -> str:
+    if pattern.deep:  # Java would overflow: a function in Python
+
+        @F.pandas_udf("boolean")
+        def found(values):
+            return values.map(lambda v: None if v is None else pattern.found_in(v.encode("utf-8", "surrogatepass")))
+
+        name = f"umbra_search_{abs(hash(pattern))}"
+        spark.udf.register(name, found)
+        return f"{name}({value})"
+    seen = f"decode(encode({value}, 'UTF-8'), 'ISO-8859-1')" if pattern.bytewise else value
+    hit = f"{seen} RLIKE {literal(pattern.java(pattern.bytewise))}"
+    return f"(contains({value}, {literal(pattern.needs)}) AND {hit})" if pattern.needs else f"({hit})"
+
+
+def _common(spark: SparkSession, value: str, p: Profile) -> str:
+    one = lambda text, pattern: f"({_found(spark, value, pattern)}" + (f" AND octet_length({value}) < {HEX_LENGTH})" if text == HEX_EXCLUSION else ")")
+    return " OR ".join(one(*e) for e in p.entropy.exclusions) or "false"
+
+
+def _masked(spark: SparkSession, p: Profile) -> str:
+    """The chain over a text without a key, as one CASE."""
+    new, cases, e = literal(p.replacement), [], p.entropy
+    for rule in resolve(p) if p.enabled else []:
+        if rule == SAFE and is_safe("", p):
+            cases.append("WHEN true THEN value")
+        elif rule == BLOCKED and is_blocked("", p):
+            cases.append(f"WHEN true THEN {new}")
+        elif rule == LARGE_STRING and p.max_value_length is not None:
+            cases.append(f"WHEN octet_length(value) > {p.max_value_length} THEN concat({new}, ' (String with ', octet_length(value), ' characters)')")
+        elif rule == REGEX and p.patterns:
+            cases.append(f"WHEN {' OR '.join(_found(spark, 'value', x) for _, x in p.patterns)} THEN {new}")
+        elif rule == ENTROPY and e.enabled:
+            worth = f"octet_length(value) >= {e.min_length} AND NOT ({_common(spark, 'value', p)})"
+            cases.append(f"WHEN byte_entropy(CASE WHEN {worth} THEN value END) >= {e.threshold} THEN {new}")
+    return f"CASE {' '.join(cases)} ELSE value END" if cases else "value"
 
 
 def register(spark: SparkSession, profile: Profile | None = None) -> None:
     """``byte_entropy(text)``, ``is_common_pattern(text)``, ``key_blocked(key)``, ``mask_text(text)``
     and ``mask_json(document)``, the last four by ``profile`` (or the default one).
 
-    A profile without an entropy rule has no common patterns.
+    Documents and entropy are worked on in Python, in Arrow batches; the others are SQL
+    functions, so that the optimizer sees through them.  Custom strategies take part in
+    ``mask_json`` only.  A profile without an entropy rule has no common patterns.
     """
     p = load() if profile is None else profile
-    masker_of = lambda: DocumentMasker(p)
-
-    @F.pandas_udf("double")
-    def byte_entropy(values):
-        return values.map(lambda v: None if v is None else entropy_of(v.encode("utf-8", "surrogatepass")))
-
-    @F.pandas_udf("boolean")
-    def is_common_pattern(values):
-        return values.map(lambda v: None if v is None else is_common_bytes(v.encode("utf-8", "surrogatepass"), p.entropy))
-
-    @F.pandas_udf("boolean")
-    def key_blocked(keys):
-        return keys.map(lambda k: None if k is None else is_blocked(k, p))
-
-    @F.pandas_udf("string")
-    def mask_text(values):
-        masker = masker_of()
-        return values.map(lambda v: None if v is None else masker.mask(v))
 
     @F.pandas_udf("string")
     def mask_json(values):
-        masker = masker_of()
+        masker = DocumentMasker(p)
         return values.map(lambda v: None if v is None else mask_text_document(v, masker))
 
-    for f in (byte_entropy, is_common_pattern, key_blocked, mask_text, mask_json):
-        spark.udf.register(f.__name__, f)
+    spark.udf.register("byte_entropy", byte_entropy_udf())
+    spark.udf.register("mask_json", mask_json)
+    for name, argument, kind, body in (
+        ("is_common_pattern", "value", "BOOLEAN", _common(spark, "value", p)),
+        ("key_blocked", "key", "BOOLEAN", blocked_sql("key", p)),
+        ("mask_text", "value", "STRING", _masked(spark, p)),
+    ):
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({argument} STRING) RETURNS {kind} RETURN {body}")
 
 
 def pattern_hits(value: Column, profile: Profile) -> Column:
     """The names of the profile's patterns that a text has, in the profile's order."""
     hits = F.array(*(F.when(search(value, p), F.lit(name)) for name, p in profile.patterns)) if profile.patterns else F.array().cast("array<string>")
     return F.filter(hits, lambda x: x.isNotNull())
-

@@ -44,3 +44,13 @@ def blocked_column(key: Column, profile: Profile) -> Column:
     if wild := [wildcard_regex(p) for p in profile.blocked_keys if "*" in p]:
         found = found | _lower(key).rlike("(?di)" + "|".join(wild))
     return found
+
+
+def blocked_sql(key: str, profile: Profile) -> str:
+    """The same as an SQL expression."""
+    quoted = lambda t: "'" + t.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    low = f"translate({key}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    exact = [quoted(p) for p in profile.blocked_keys if "*" not in p]
+    wild = [wildcard_regex(p) for p in profile.blocked_keys if "*" in p]
+    tests = ([f"{low} IN ({', '.join(exact)})"] if exact else []) + ([f"{low} RLIKE {quoted('(?di)' + '|'.join(wild))}"] if wild else [])
+    return " OR ".join(tests) or f"CASE WHEN {key} IS NOT NULL THEN false END"

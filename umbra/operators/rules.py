@@ -2,31 +2,39 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.functions.dialect import search
-from umbra.functions.entropy import byte_entropy, byte_entropy_native, is_common_pattern
+from umbra.functions.entropy import byte_entropy_native, entropy_of, is_common_pattern
 from umbra.operators.keys import blocked_column, is_blocked, is_safe, safe_column
 from umbra.plans.registry import ColumnStrategy, resolve
 from umbra.profiles import BLOCKED, ENTROPY, LARGE_OBJECT, LARGE_STRING, REGEX, SAFE, Profile
 
 #: What a branch of the chain does with a value.
 KEEP, BLOCK, REPLACE, OVERSIZE = "keep", "block", "replace", "oversize"
+#: A column that holds decisions for a while.
+DECISION = "_umbra_decision"
 
 
 @dataclass
 class Branch:
-    """One rule at one place: when, and what then.  ``when`` True is known at plan time."""
+    """One rule at one place: when, and what then.  ``when`` True is known at plan time.
+
+    ``entropy``: ``when`` is only what comes before the entropy itself is looked at.
+    ``plain``: the value is the profile's replacement.
+    """
 
     when: Column | bool
     what: str
     value: Column | None = None
     note: Column | None = None
+    entropy: bool = False
+    plain: bool = False
 
 
 @dataclass(frozen=True)
@@ -43,14 +51,27 @@ def pattern_found(value: Column, profile: Profile, text: Text = Text(), nested:
     return reduce(Column.__or__, (search(value, p, text.charset, nested) for _, p in profile.patterns), F.lit(False))
 
 
-def entropy_reached(value: Column, profile: Profile, text: Text, before: Column, nested: bool) -> Column:
-    """Python functions run for every row, whatever CASE they stand in: what is decided
-    already, too short or excluded reaches this one as null."""
+def entropy_worth(value: Column, profile: Profile, text: Text, nested: bool) -> Column:
+    """Long enough and not excluded: worth looking at the entropy."""
     e = profile.entropy
-    guard = ~before & (text.length(value) >= e.min_length) & ~is_common_pattern(value, e, text.length(value), text.charset, nested)
-    if nested:  # lazily evaluated
-        return guard & (byte_entropy_native(value) >= e.threshold)
-    return F.coalesce(byte_entropy(F.when(guard, value), text.charset) >= e.threshold, F.lit(False))
+    return (text.length(value) >= e.min_length) & ~is_common_pattern(value, e, text.length(value), text.charset, nested)
+
+
+def entropy_decided(code: Column, value: Column, rest: Column, at: int, threshold: float, charset: str) -> Column:
+    """``code``, where that is -1 ``at`` or (the entropy being too low) ``rest``.
+
+    Python functions run for every row, whatever CASE they stand in: so this one gets
+    the decision so far, and a text only where that is open.
+    """
+
+    @F.pandas_udf("int")
+    def decided(codes, texts, rests):
+        out = codes.to_numpy(copy=True)
+        for i in (out == -1).nonzero()[0]:
+            out[i] = at if entropy_of(texts.iat[i].encode(charset)) >= threshold else rests.iat[i]
+        return type(codes)(out)
+
+    return decided(code, F.when(code == -1, value), rest)
 
 
 def branches(value: Column, key: str | Column, kind: T.DataType, profile: Profile, text: Text = Text(), nested: bool = False) -> list[Branch]:
@@ -65,11 +86,11 @@ def branches(value: Column, key: str | Column, kind: T.DataType, profile: Profil
         elif rule == SAFE:
             made = Branch(is_safe(key, profile) if literal else safe_column(key, profile), KEEP)
         elif rule == BLOCKED:
-            made = Branch(is_blocked(key, profile) if literal else blocked_column(key, profile), BLOCK, replacement)
+            made = Branch(is_blocked(key, profile) if literal else blocked_column(key, profile), BLOCK, replacement, plain=True)
         elif rule == LARGE_OBJECT and profile.redact_large_objects:
             if isinstance(kind, T.StructType):
                 n = len(kind.fields)
-                made = Branch(n > profile.max_object_size, OVERSIZE, note=F.lit(f"{profile.replacement} (Array with {n} items)"))
+                made = Branch(n > profile.max_object_size, OVERSIZE, note=F.lit(f"{profile.replacement} (Object struct with {n} properties)"))
             elif isinstance(kind, (T.ArrayType, T.MapType)):
                 note = F.format_string("%s (Array with %d items)", replacement, F.size(value))
                 made = Branch(F.size(value) > profile.max_object_size, OVERSIZE, note=note)
@@ -78,10 +99,9 @@ def branches(value: Column, key: str | Column, kind: T.DataType, profile: Profil
                 n = text.length(value)
                 made = Branch(n > profile.max_value_length, REPLACE, F.format_string("%s (String with %d characters)", replacement, n))
             elif rule == REGEX and profile.patterns:
-                made = Branch(pattern_found(value, profile, text, nested), REPLACE, replacement)
+                made = Branch(pattern_found(value, profile, text, nested), REPLACE, replacement, plain=True)
             elif rule == ENTROPY and profile.entropy.enabled:
-                before = reduce(Column.__or__, (F.coalesce(b.when, F.lit(False)) for b in out if isinstance(b.when, Column)), F.lit(False))
-                made = Branch(entropy_reached(value, profile, text, before, nested), REPLACE, replacement)
+                made = Branch(entropy_worth(value, profile, text, nested), REPLACE, replacement, entropy=True, plain=True)
         if made is None or made.when is False:
             continue
         out.append(made)
@@ -90,34 +110,82 @@ def branches(value: Column, key: str | Column, kind: T.DataType, profile: Profil
     return out
 
 
-def decision(found: list[Branch]) -> Column:
-    """Which branch matches, from 1; 0 for none."""
+def _first(found: list[Branch], start: int, other: Column) -> Column:
+    """The number, from ``start``, of the first branch that matches."""
     out = None
-    for i, b in enumerate(found, 1):
+    for i, b in enumerate(found, start):
         when = F.lit(True) if b.when is True else b.when
         out = F.when(when, F.lit(i)) if out is None else out.when(when, F.lit(i))
-    return F.lit(0) if out is None else out.otherwise(F.lit(0))
+    return other if out is None else out.otherwise(other)
+
+
+def decision(found: list[Branch], value: Column, profile: Profile, text: Text = Text(), nested: bool = False, stage=lambda c: c) -> Column:
+    """Which branch matches, from 1; 0 for none.
+
+    What is decided before entropy is used twice; ``stage`` may make it a column of an
+    earlier projection, so that each pattern stands in the plan once.
+    """
+    at = next((i for i, b in enumerate(found) if b.entropy), None)
+    if at is None:
+        return _first(found, 1, F.lit(0))
+    limit, rest = profile.entropy.threshold, _first(found[at + 1 :], at + 2, F.lit(0))
+    if nested:  # lazily evaluated
+        reached = replace(found[at], when=found[at].when & (byte_entropy_native(value) >= limit))
+        return _first([*found[:at], reached, *found[at + 1 :]], 1, F.lit(0))
+    code = stage(_first([*found[:at]], 1, F.when(found[at].when, F.lit(-1)).otherwise(rest)))
+    return entropy_decided(code, value, rest, at + 1, limit, text.charset)
+
+
+def hits(found: list[Branch]) -> list[int]:
+    """The numbers of the branches that change a value."""
+    return [i for i, b in enumerate(found, 1) if b.what != KEEP]
+
+
+def replaced(value: Column, found: list[Branch], at: Column) -> Column:
+    """``value`` by the branch of number ``at``."""
+    return chosen(value, [(at == i, found[i - 1].value) for i in hits(found)])
 
 
 def mask_text(value: Column, profile: Profile, key: str = "", text: Text = Text()) -> Column:
     """A string column as a scalar under ``key``, masked."""
     if not profile.enabled:
         return value
-    return chosen(value, [(True if b.when is True else b.when, b.value) for b in branches(value, key, T.StringType(), profile, text)])
+    found = branches(value, key, T.StringType(), profile, text)
+    return replaced(value, found, decision(found, value, profile, text)) if hits(found) else value
+
+
+def text_matched(value: Column, profile: Profile, key: str = "", text: Text = Text()) -> Column:
+    """Is a string column masked under ``key``?"""
+    found = branches(value, key, T.StringType(), profile, text) if profile.enabled else []
+    return decision(found, value, profile, text).isin(*hits(found)) if hits(found) else F.lit(False)
+
+
+def with_masked(df: DataFrame, value: Column, profile: Profile, masked: str, matched: str, key: str = "", text: Text = Text()) -> DataFrame:
+    """``df`` with the masked text and whether it was masked, by one decision a row."""
+    found = branches(value, key, T.StringType(), profile, text) if profile.enabled else []
+    if not hits(found):
+        return df.withColumns({masked: value, matched: F.lit(False)})
+    at = F.col(DECISION)
+    df = with_decision(df, found, value, profile, text)
+    return df.withColumns({masked: replaced(value, found, at), matched: at.isin(*hits(found))}).drop(DECISION)
+
+
+def with_decision(df: DataFrame, found: list[Branch], value: Column, profile: Profile, text: Text = Text()) -> DataFrame:
+    """``df`` with the column DECISION, in two projections."""
+    early: list[Column] = []
+
+    def stage(code: Column) -> Column:
+        early.append(code.alias(DECISION + "_early"))
+        return F.col(DECISION + "_early")
+
+    made = decision(found, value, profile, text, stage=stage)
+    return df.select("*", *early).withColumn(DECISION, made).drop(DECISION + "_early")
 
 
 def chosen(value: Column, cases: list[tuple[Column | bool, Column | None]]) -> Column:
-    """One flat CASE, so that no predicate is evaluated twice; None keeps the value."""
+    """One flat CASE; None keeps the value."""
     out = None
     for when, new in cases:
         when, new = F.lit(True) if when is True else when, value if new is None else new
         out = F.when(when, new) if out is None else out.when(when, new)
     return value if out is None else out.otherwise(value)
-
-
-def text_matched(value: Column, profile: Profile, key: str = "", text: Text = Text()) -> Column:
-    """Is a string column masked under ``key``?"""
-    if not profile.enabled:
-        return F.lit(False)
-    found = branches(value, key, T.StringType(), profile, text)
-    return decision(found).isin(*[i for i, b in enumerate(found, 1) if b.what != KEEP]) if found else F.lit(False)

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from umbra.operators.document import mask_json
-from umbra.operators.rules import Text, mask_text
+from umbra.operators.rules import DECISION, Text, branches, hits, with_decision
 from umbra.profiles import REDACTED, Profile
 
 #: One character stands for one byte, so patterns and lengths mean bytes whatever they are.
 BYTES = Text("ISO-8859-1")
+LENGTH = "_umbra_length"
 FINDING = "struct<type:string,reason:string,original_length:bigint,profile:string>"
 
 
@@ -33,15 +37,27 @@ def scan_contents(df: DataFrame, profile: Profile, path: str = "path", content:
         value, length, text = F.decode(raw, BYTES.charset), F.octet_length(raw), BYTES
     else:
         value, length, text = raw, F.octet_length(raw), Text()
-    masked = mask_text(value, profile, text=text)
     none = F.array().cast(f"array<{FINDING}>")
-    whole = _finding("full_content_redacted", "Entire content was redacted", length, profile)
-    large = _finding("large_string", "Content was collapsed for its length", length, profile)
-    changed = (masked != value) & (F.lit(profile.replacement) == masked)
-    found = F.when(masked == REDACTED, whole) if compat else F.when(changed, whole).when(masked != value, large)
+    whole = _finding("full_content_redacted", "Entire content was redacted", F.col(LENGTH), profile)
+    large = _finding("large_string", "Content was collapsed for its length", F.col(LENGTH), profile)
+    rules = branches(value, "", T.StringType(), profile, text) if profile.enabled else []
+    own = value == F.lit(profile.replacement)
+    plain, other = [F.lit(False)], [F.lit(False)]  # of the branches: those that leave the replacement, and those that leave something else
+    for i in hits(rules):
+        here = F.col(DECISION) == i
+        became = F.lit(True) if rules[i - 1].plain else rules[i - 1].value == F.lit(profile.replacement)
+        plain.append(here & became)
+        other.append(here & ~became & (rules[i - 1].value != value))
+    plain, other = reduce(Column.__or__, plain), reduce(Column.__or__, other)
+    if compat:
+        found = F.when((plain & F.lit(profile.replacement == REDACTED)) | ((F.col(DECISION) == 0) & (value == REDACTED)), whole)
+    else:
+        found = F.when(plain & ~own, whole).when(other, large)
     said = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
     skipped = raw.isNull()
-    return df.select(
+    # The content is decided on once; no later step holds its masked text.
+    decided = with_decision(df, rules, value, profile, text).withColumn(LENGTH, length)
+    return decided.select(
         F.col(f"`{path}`").alias("path"),
         F.when(skipped, none).otherwise(F.coalesce(found, none)).alias("findings"),
         F.lit(profile.name).alias("profile"),
@@ -82,7 +98,9 @@ def status_table(results: DataFrame) -> DataFrame:
     status = F.when(F.col("skipped"), "SKIPPED").when(has_findings(), "FINDINGS").otherwise("CLEAN")
     count = F.when(F.col("skipped"), "-").otherwise(F.size("findings").cast("string"))
     path = F.col("path")
-    end = F.when(F.octet_length(path) > 60, F.concat(F.lit("..."), F.substring(path, -57, 57))).otherwise(path)
+    raw = F.encode(path, "UTF-8")  # lengths are bytes; a character cut in two at the start is left out
+    tail = F.decode(F.encode(F.regexp_replace(F.decode(F.substring(raw, -57, 57), "ISO-8859-1"), "^[\\x80-\\xbf]+", ""), "ISO-8859-1"), "UTF-8")
+    end = F.when(F.octet_length(path) > 60, F.concat(F.lit("..."), tail)).otherwise(path)
     return results.select(status.alias("status"), count.alias("findings"), end.alias("file_path"))
 
 

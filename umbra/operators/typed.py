@@ -9,7 +9,11 @@ struct, and a blocked value inside an array or map whose elements aren't strings
 become null; messages of oversized containers that the schema's names reach are in
 ``_redaction_notes`` (path to message).  A blocked column of another type becomes a
 string.  ``_redacted`` is always there if the profile marks, ``_redacted_keys`` if it
-also tracks.
+also tracks; each takes the place of an input column of its name, as do the notes.
+
+Which rule takes a leaf is decided once a row: decisions are columns of a projection of
+their own, values, flags and keys of the next.  Inside arrays and maps an element's
+value, flag and keys are made together.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.operators.keys import is_blocked
-from umbra.operators.rules import BLOCK, KEEP, OVERSIZE, Branch, branches, chosen, decision
+from umbra.operators.rules import BLOCK, DECISION, KEEP, OVERSIZE, Branch, branches, chosen, decision, hits
 from umbra.plans.registry import resolve
 from umbra.profiles import BLOCKED, SAFE, Profile
 
@@ -49,31 +53,139 @@ def _names(columns: list[Column]) -> Column:
     return F.array_distinct(F.concat(empty, *columns)) if columns else empty
 
 
+def _let(value: Column, make) -> Column:
+    """``make(value)`` with ``value`` evaluated once, where no projection can come before."""
+    return F.transform(F.array(value), make)[0]
+
+
+def _packed(value: Column, redacted: Column, keys: Column) -> Column:
+    return F.struct(value.alias("v"), F.coalesce(redacted, F.lit(False)).alias("r"), keys.alias("k"))
+
+
 class Masker:
     def __init__(self, profile: Profile):
         self.profile = profile
         self.tracks = profile.mark_redacted and profile.track_redacted_keys
         self.index_rules = any(r not in (SAFE, BLOCKED) for r in resolve(profile)) or any("*" in k or k.isdigit() for k in profile.blocked_keys)
+        self.early: list[Column] = []
+        self.staged: list[Column] = []
 
-    def mask(self, value: Column, kind: T.DataType, key: str | Column, path: str | None, nested: bool = False) -> Masked:
-        found = branches(value, key, kind, self.profile, nested=nested)
-        container = isinstance(kind, (T.StructType, T.ArrayType, T.MapType))
-        if container:
-            return self._container(value, kind, key, path, nested, found)
-        if not any(b.what != KEEP for b in found):
+    def _early(self, value: Column) -> Column:
+        """A column of the first projection."""
+        name = f"{DECISION}_early_{len(self.early)}"
+        self.early.append(value.alias(name))
+        return F.col(name)
+
+    def _stage(self, value: Column) -> Column:
+        """A column of the second projection."""
+        name = f"{DECISION}_{len(self.staged)}"
+        self.staged.append(value.alias(name))
+        return F.col(name)
+
+    def mask(self, value: Column, kind: T.DataType, key: str, path: str) -> Masked:
+        """A value that the schema's names reach."""
+        found = branches(value, key, kind, self.profile)
+        if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+            return self._container(value, kind, key, path, found)
+        if not hits(found):
             return Masked(value, same=True)
         if found[0].when is True:
             return self._fixed(found[0], key)
-        at, hit = decision(found), [i for i, b in enumerate(found, 1) if b.what != KEEP]
-        cases = []
-        for i in hit:
-            made = found[i - 1].value
-            if not isinstance(key, str) and not isinstance(kind, T.StringType):  # an element can't change its type
-                made = F.lit(None).cast(kind)
-            cases.append((at == i, made))
-        out = chosen(value, cases)  # the mask and its flag share the decision
-        keys = [self._key(at == i, key) for i in hit if found[i - 1].what == BLOCK] if self.tracks else []
-        return Masked(out, [at.isin(*hit)], keys)
+        at = self._stage(decision(found, value, self.profile, stage=self._early))
+        out = chosen(value, [(at == i, found[i - 1].value) for i in hits(found)])
+        keys = [self._key(at == i, key) for i in hits(found) if found[i - 1].what == BLOCK] if self.tracks else []
+        return Masked(out, [at.isin(*hits(found))], keys)
+
+    def element(self, value: Column, kind: T.DataType, key: str | Column) -> Column | None:
+        """(value, was it masked, blocked keys) inside an array or map; None if nothing there can ever be masked."""
+        found = branches(value, key, kind, self.profile, nested=True)
+        none, no = F.array().cast("array<string>"), F.lit(False)
+        fixed = isinstance(key, str) or isinstance(kind, T.StringType)  # else an element can't change its type
+        named = (lambda b: self._key(None, key) if b.what == BLOCK and self.tracks else none)
+        new = lambda b: b.value if fixed and b.value is not None else F.lit(None).cast(kind)
+        if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+            return self._element_container(value, kind, key, found, named, new)
+        if not hits(found):
+            return None
+        if found[0].when is True:
+            return _packed(new(found[0]), F.lit(True), named(found[0]))
+
+        def made(at: Column) -> Column:
+            cases = [(at == i, found[i - 1]) for i in hits(found)]
+            return _packed(chosen(value, [(c, new(b)) for c, b in cases]), at.isin(*hits(found)), chosen(none, [(c, named(b)) for c, b in cases if b.what == BLOCK]))
+
+        return _let(decision(found, value, self.profile, nested=True), made)
+
+    def _element_container(self, value, kind, key, found: list[Branch], named, new) -> Column | None:
+        none, no, there = F.array().cast("array<string>"), F.lit(False), value.isNotNull()
+        again = branches(value, "", kind, self.profile, nested=True)
+        for b in (*found[:1], *again[:1]):
+            if b.when is True and b.what != KEEP:
+                return _packed(new(b) if b.what == BLOCK else F.lit(None).cast(kind), F.lit(True) if b.what == BLOCK else there, named(b))
+        inner = self._elements_inside(value, kind)
+        tests = self._tests(found, again)
+        if inner is None and not tests:
+            return None
+
+        def made(o: Column) -> Column:
+            cases = [(F.coalesce(w, no), b) for w, b in tests]
+            v, r, k = o["v"], o["r"], o["k"]
+            for when, b in reversed(cases):
+                v, r, k = F.when(when, F.lit(None)).otherwise(v), when | r, F.when(when, named(b)).otherwise(k)
+            return _packed(v, r, k)
+
+        return _let(_packed(value, no, none) if inner is None else inner, made)
+
+    def _elements_inside(self, value: Column, kind: T.DataType) -> Column | None:
+        """A container's packed elements put together again."""
+        none, no = F.array().cast("array<string>"), F.lit(False)
+        if isinstance(kind, T.StructType):
+            parts = [self.element(value[f.name], f.dataType, f.name) for f in kind.fields]
+            if all(p is None for p in parts):
+                return None
+            some = [i for i, p in enumerate(parts) if p is not None]
+
+            def made(o: Column) -> Column:
+                built = F.struct(*((value[f.name] if parts[i] is None else o[f"p{i}"]["v"]).alias(f.name) for i, f in enumerate(kind.fields)))
+                there = value.isNotNull()
+                return _packed(F.when(there, built), there & _any([o[f"p{i}"]["r"] for i in some]), F.when(there, _names([o[f"p{i}"]["k"] for i in some])).otherwise(none))
+
+            return _let(F.struct(*(parts[i].alias(f"p{i}") for i in some)), made)
+        one = self._elements(value, kind)
+        return None if one is None else _let(one, lambda o: _packed(*self._joined(o, kind)))
+
+    def _elements(self, value: Column, kind: T.DataType) -> Column | None:
+        """An array's packed elements, or a map's entries with packed values; null if ``value`` is."""
+        if isinstance(kind, T.ArrayType):
+            leaf = not isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType, T.StringType))
+            if (leaf and not self.index_rules) or self.element(F.lit(None).cast(kind.elementType), kind.elementType, F.lit("0")) is None:
+                return None
+            return F.transform(value, lambda x, i: self.element(x, kind.elementType, i.cast("string")))
+        if not isinstance(kind.keyType, T.StringType) or self.element(F.lit(None).cast(kind.valueType), kind.valueType, F.lit("k")) is None:
+            return None
+        return F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), self.element(e["value"], kind.valueType, e["key"]).alias("value")))
+
+    def _joined(self, one: Column, kind: T.DataType) -> tuple[Column, Column, Column]:
+        """(value, was any masked, blocked keys) of what ``_elements`` made."""
+        packed = (lambda e: e) if isinstance(kind, T.ArrayType) else (lambda e: e["value"])
+        if isinstance(kind, T.ArrayType):
+            out = F.transform(one, lambda e: e["v"])
+        else:
+            out = F.map_from_entries(F.transform(one, lambda e: F.struct(e["key"].alias("key"), e["value"]["v"].alias("value"))))
+        keys = F.coalesce(F.flatten(F.transform(one, lambda e: packed(e)["k"])), F.array().cast("array<string>")) if self.tracks else F.array().cast("array<string>")
+        return out, F.exists(one, lambda e: packed(e)["r"]), keys
+
+    def _tests(self, found: list[Branch], again: list[Branch]) -> list[tuple[Column, Branch]]:
+        """What a container's own rules ask of its value: (when, branch), first match first.
+
+        The two tries of a size rule are one test; a key rule can only be in the first.
+        """
+        at = lambda i: F.coalesce(found[i].when, F.lit(False)) if not isinstance(found[i].when, bool) else F.lit(found[i].when)
+        earlier = lambda i: reduce(Column.__or__, (at(j) for j in range(i)), F.lit(False))
+        tests = [(at(i) & ~earlier(i), b) for i, b in enumerate(found) if b.what != KEEP and b.when is not True]
+        if any(b.what == KEEP for b in found) or not found:
+            tests += [(b.when, b) for b in again if b.what != KEEP and isinstance(b.when, Column)]
+        return tests
 
     def _fixed(self, branch: Branch, key: str | Column) -> Masked:
         if branch.what == KEEP:
@@ -84,23 +196,19 @@ class Masker:
         name = F.array(F.lit(key) if isinstance(key, str) else key)
         return name if when is None else F.when(when, name).otherwise(F.array().cast("array<string>"))
 
-    def _container(self, value, kind, key, path, nested, found: list[Branch]) -> Masked:
+    def _container(self, value, kind, key: str, path: str, found: list[Branch]) -> Masked:
         null = F.lit(None).cast(kind)
         if found and found[0].when is True and found[0].what != KEEP:
             if found[0].what == OVERSIZE:
                 return Masked(null, [value.isNotNull()], notes=self._note(path, F.when(value.isNotNull(), found[0].note)))
             return self._fixed(found[0], key)
         # Whatever its own key says, the container is tried again without a key.
-        again = branches(value, "", kind, self.profile, nested=nested)
+        again = branches(value, "", kind, self.profile)
         if again and again[0].when is True and again[0].what != KEEP:
             return Masked(null, [value.isNotNull()], notes=self._note(path, F.when(value.isNotNull(), again[0].note if again[0].note is not None else again[0].value)))
-        inner = self._inside(value, kind, path, nested)
+        inner = self._inside(value, kind, path)
         out, redacted, keys, notes = inner.value, list(inner.redacted), list(inner.keys), list(inner.notes)
-        # The two tries of a size rule are one test; a key rule can only be in the first.
-        at = decision(found)
-        tests = [(at == i, b) for i, b in enumerate(found, 1) if b.what != KEEP and b.when is not True]
-        if any(b.what == KEEP for b in found) or not found:
-            tests += [(b.when, b) for b in again if b.what != KEEP and isinstance(b.when, Column)]
+        tests = self._tests(found, again)
         for when, b in tests:
             when = F.coalesce(when, F.lit(False))
             out = F.when(when, F.lit(None)).otherwise(out)  # of whatever type the inside has now
@@ -113,40 +221,26 @@ class Masker:
             redacted.insert(0, when)
         return Masked(out, redacted, keys, notes, inner.same and not tests)
 
-    def _note(self, path: str | None, message: Column) -> list[tuple[str, Column]]:
-        return [] if path is None else [(path, message)]
+    def _note(self, path: str, message: Column) -> list[tuple[str, Column]]:
+        return [(path, message)]
 
-    def _inside(self, value: Column, kind: T.DataType, path: str | None, nested: bool) -> Masked:
-        if isinstance(kind, T.StructType):
-            parts = [self.mask(value[f.name], f.dataType, f.name, None if path is None else f"{path}.{f.name}", nested) for f in kind.fields]
-            if all(p.same for p in parts):
+    def _inside(self, value: Column, kind: T.DataType, path: str) -> Masked:
+        if not isinstance(kind, T.StructType):
+            one = self._elements(value, kind)
+            if one is None:
                 return Masked(value, same=True)
-            built = F.struct(*(p.value.alias(f.name) for p, f in zip(parts, kind.fields)))
-            there = value.isNotNull()
-            return Masked(
-                F.when(there, built),
-                [there & _any(p.redacted) for p in parts if p.redacted],
-                [F.when(there, k).otherwise(F.array().cast("array<string>")) for p in parts for k in p.keys],
-                [(n, F.when(there, m)) for p in parts for n, m in p.notes],
-            )
-        if isinstance(kind, T.ArrayType):
-            part = lambda x, i: self.mask(x, kind.elementType, i.cast("string"), None, True)
-            probe = self.mask(F.lit(None).cast(kind.elementType), kind.elementType, F.lit("0"), None, True)
-            leaf = not isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType, T.StringType))
-            if probe.same or (leaf and not self.index_rules):
-                return Masked(value, same=True)
-            any_in = F.exists(F.transform(value, lambda x, i: _any(part(x, i).redacted)), lambda b: b)
-            keys = [F.coalesce(F.flatten(F.transform(value, lambda x, i: _names(part(x, i).keys))), F.array().cast("array<string>"))] if self.tracks and probe.keys else []
-            return Masked(F.transform(value, lambda x, i: part(x, i).value), [any_in], keys)
-        if not isinstance(kind.keyType, T.StringType):
-            return Masked(value, same=True)
-        part = lambda k, v: self.mask(v, kind.valueType, k, None, True)
-        entry = lambda f: F.transform(F.map_entries(value), lambda e: f(part(e["key"], e["value"])))
-        probe = part(F.lit("k"), F.lit(None).cast(kind.valueType))
-        if probe.same:
+            out, redacted, keys = self._joined(self._stage(one), kind)
+            return Masked(out, [redacted], [keys] if self.tracks else [])
+        parts = [self.mask(value[f.name], f.dataType, f.name, f"{path}.{f.name}") for f in kind.fields]
+        if all(p.same for p in parts):
             return Masked(value, same=True)
-        keys = [F.coalesce(F.flatten(entry(lambda m: _names(m.keys))), F.array().cast("array<string>"))] if self.tracks and probe.keys else []
-        return Masked(F.transform_values(value, lambda k, v: part(k, v).value), [F.exists(entry(lambda m: _any(m.redacted)), lambda b: b)], keys)
+        there = value.isNotNull()
+        return Masked(
+            F.when(there, F.struct(*(p.value.alias(f.name) for p, f in zip(parts, kind.fields)))),
+            [there & _any(p.redacted) for p in parts if p.redacted],
+            [F.when(there, k).otherwise(F.array().cast("array<string>")) for p in parts for k in p.keys],
+            [(n, F.when(there, m)) for p in parts for n, m in p.notes],
+        )
 
 
 def mask_frame(df: DataFrame, profile: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -160,18 +254,26 @@ def mask_frame(df: DataFrame, profile: Profile, keep: tuple[str, ...] = ()) -> D
     masker = Masker(profile)
     fields = [f for f in df.schema.fields if f.name not in keep]
     if BLOCKED in profile.strategies and is_blocked("", profile) and not (SAFE in profile.strategies and "" in profile.safe_keys):
-        columns = [F.col(f"`{c}`") if c in keep else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns]
-        marks = [F.lit(True).alias(REDACTED)] if profile.mark_redacted else []
-        tracked = [F.array(F.lit("")).alias(KEYS)] if masker.tracks else []
-        return df.select(*columns, *marks, *tracked, F.create_map(F.lit(""), F.lit(profile.replacement)).alias(NOTES))
+        made = {f.name: F.lit(None).cast(f.dataType) for f in fields}
+        marks = {REDACTED: F.lit(True)} if profile.mark_redacted else {}
+        marks |= {KEYS: F.array(F.lit(""))} if masker.tracks else {}
+        return _with_marks(df, made, marks | {NOTES: F.create_map(F.lit(""), F.lit(profile.replacement))})
     parts = {f.name: masker.mask(F.col(f"`{f.name}`"), f.dataType, f.name, f.name) for f in fields}
-    out = [parts[c].value.alias(c) if c in parts else F.col(f"`{c}`") for c in df.columns if c not in (REDACTED, KEYS) or not profile.mark_redacted]
+    marks = {}
     if profile.mark_redacted:
-        out.append(_any([r for p in parts.values() for r in p.redacted]).alias(REDACTED))
+        marks[REDACTED] = _any([r for p in parts.values() for r in p.redacted])
         if masker.tracks:
-            out.append(_names([k for p in parts.values() for k in p.keys]).alias(KEYS))
+            marks[KEYS] = _names([k for p in parts.values() for k in p.keys])
     notes = [n for p in parts.values() for n in p.notes]
     if notes:
         entries = F.array(*(F.struct(F.lit(path).alias("key"), message.alias("value")) for path, message in notes))
-        out.append(F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull())).alias(NOTES))
-    return df.select(*out)
+        marks[NOTES] = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
+    staged = df.select("*", *masker.early) if masker.early else df
+    staged = staged.select("*", *masker.staged) if masker.staged else staged
+    return _with_marks(staged, {c: p.value for c, p in parts.items()}, marks, df.columns)
+
+
+def _with_marks(df: DataFrame, made: dict[str, Column], marks: dict[str, Column], columns: list[str] | None = None) -> DataFrame:
+    """The columns, as ``made`` has them, without those whose names the marks take; then the marks."""
+    out = [made[c].alias(c) if c in made else F.col(f"`{c}`") for c in (columns or df.columns) if c not in marks]
+    return df.select(*out, *(m.alias(name) for name, m in marks.items()))

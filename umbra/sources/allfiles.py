@@ -11,6 +11,7 @@ from __future__ import annotations
 import fnmatch
 import json
 import os
+import tempfile
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,14 @@ SCHEMA = "path string, length long, content binary, error string"
 TASK_BYTES, TASK_FILES = 64 << 20, 10_000
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; unset, a temporary one serves a local master only."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith(("local[", "local-")) and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or tempfile.mkdtemp(prefix="umbra-")
+
+
 def missing_paths(paths: Iterable[str]) -> list[str]:
     return [p for p in paths if not os.path.exists(p)]
 
