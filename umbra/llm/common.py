@@ -63,7 +63,7 @@ def inputs(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
     )
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, on: str, how: str = "left") -> DataFrame:
+def join_per_key(rows: DataFrame, per_key: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
     """Join ``rows`` with a checkpointed table of one row a key.
 
     The table's rows and, as far as it holds numbers, structs and arrays of them, its

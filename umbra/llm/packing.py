@@ -20,7 +20,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbra.llm.common import arrow_batches, cut, inputs
+from umbra.llm.common import arrow_batches, cut, inputs, join_per_key
 
 #: Encodings that a worker keeps, by word; then it starts anew.
 CACHE_WORDS = 400_000
@@ -169,7 +169,7 @@ def pack(
     order = Window.orderBy(F.desc("length"), "_task").rowsBetween(Window.unboundedPreceding, -1)
     firsts = rows.groupBy("length", "_task").agg(F.count("*").alias("_c"))
     firsts = firsts.select("length", "_task", F.coalesce(F.sum("_c").over(order), F.lit(0)).alias("_first"))
-    out = rows.join(F.broadcast(firsts), ["length", "_task"])  # 12 rows a task at most
+    out = join_per_key(rows, cut(firsts), ["length", "_task"], "inner")  # 12 rows a task at most
     return out.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("_first") + F.col("_n")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else [])
     )

@@ -69,8 +69,6 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the ids' number and checksum, and whether decoding them gives the text back."""
-    # Two Python steps follow each other here, each with a batch of texts and ids in hand.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     model = tokenizer("piece_bpe_32k.model")
     out = decode(encode(table(spark, sf_dir, "documents"), model), model)
     return out.select(

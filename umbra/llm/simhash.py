@@ -1,23 +1,30 @@
 """SimHash near-duplicates over a byte-position inverted index with count filtering.
 
 Two 64-bit fingerprints that differ in at most two bits agree in at least six of
-their eight bytes.  That guaranteed minimum is what the index filters by: a posting's
-key is six positional bytes, one posting for each of the 28 choices of six positions,
-so two fingerprints meet in a list exactly when their count of shared positional
-bytes reaches six.  (Lists of single positional bytes, 2048 in all, would each hold
-1/256 of the corpus and pair it with itself.)
-
-A list of up to PAIR_LIST fingerprints gives its pairs, whose shared bytes are tallied
-and whose bits are then compared.  Members of a longer list are linked without pairs:
-each gives the 65 codes at most one bit away from it; fingerprints that share a code
-are at most two bits apart, and two that are at most two bits apart share one.  So
-each is linked to the smallest at its code, at most 65 fingerprints a code, and no
-link is lost.
+their eight bytes.  A posting's key is KEY_BYTES = 5 positional bytes, one posting for
+each of the 56 choices of five positions; so two fingerprints that agree in six bytes
+meet in six lists, in seven bytes in 21, and those that agree in five only meet once.
+(Lists of single positional bytes, 2048 in all, would each hold 1/256 of the corpus and
+pair it with itself.)  The lists in which a pair meets are tallied; pairs that reach
+the guaranteed minimum of six are verified on their bits.
+
+A list of up to PAIR_LIST fingerprints gives its pairs.  Members of a longer list are
+linked without pairs: each gives the 65 codes at most one bit away from it;
+fingerprints that share a code are at most two bits apart, and two that are at most two
+bits apart share one.  So each is linked to the smallest at its code, at most 65
+fingerprints a code, and no link is lost.
+
+Sign bits can't find texts of a shingle similarity of 0.8: those differ in about ten of
+64 bits, in any byte.  With ``least`` the positional bytes are therefore those of
+minimum hashes, 100 of them, index keys are groups of four positions, the tally counts
+the shared bytes of a pair, and what reaches the minimum is verified on the shingles
+themselves (``near_copies``).
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -25,10 +32,14 @@ from pyspark.sql import functions as F
 
 from umbra.llm.common import arrow_batches, cut, inputs, join_per_key
 from umbra.llm.components import connected_components
+from umbra.llm.near_copies import near_copies
 
 BITS, BYTES, SEED = 64, 8, 42
 MAX_BITS = 2
 SHINGLE = 3
+KEY_BYTES = 5
+#: The lists in which two fingerprints at most MAX_BITS apart are sure to meet.
+LEAST_MEETINGS = comb(BYTES - MAX_BITS, KEY_BYTES)
 PAIR_LIST = 16
 #: Hashes turned into bits at a time, 64 bytes each.
 BLOCK = 1 << 15
@@ -76,23 +87,17 @@ def links(fps: DataFrame) -> DataFrame:
     ``fps`` has distinct, checkpointed fingerprints in its column fp.
     """
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    full = (1 << 64) - 1
     postings = []
-    for n, out in enumerate(combinations(range(BYTES), MAX_BITS)):
-        mask = full
-        for p in out:
-            mask ^= 0xFF << (8 * p)
+    for n, positions in enumerate(combinations(range(BYTES), KEY_BYTES)):
+        mask = sum(0xFF << (8 * p) for p in positions)
         postings.append(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(signed(mask)))))
     listed = fps.select(F.explode(F.array(*postings)).alias("key"), "fp")
-    # A list holds at most 65,536 fingerprints: six of its eight bytes are fixed.
-    met = listed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
-    met = cut(met)
+    met = cut(listed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
     few = met.where(F.col("n") <= PAIR_LIST)
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b")
-    byte = lambda x, p: F.shiftrightunsigned(x, 8 * p).bitwiseAND(F.lit(0xFF))
-    shared = sum((F.when(byte("a", p) == byte("b", p), 1).otherwise(0) for p in range(BYTES)), F.lit(0))
-    pairs = pairs.where(shared >= BYTES - MAX_BITS).where(apart("a", "b") <= MAX_BITS).select("a", "b")
+    tallied = pairs.groupBy("a", "b").agg(F.count("*").alias("meetings"))
+    pairs = tallied.where(F.col("meetings") >= LEAST_MEETINGS).where(apart("a", "b") <= MAX_BITS).select("a", "b")
 
     many = met.where(F.col("n") > PAIR_LIST).select("fp").distinct()
     codes = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(signed(1 << i))) for i in range(BITS)))
@@ -106,15 +111,21 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float | None = None) -> DataFrame:
     """One row for each row of ``df``: doc_id, fp, component_id.
 
+    With ``least`` links are between texts whose sets of shingles have that Jaccard
+    similarity, fp is null and ids have to number the rows.
+
     component_id is the smallest doc_id among all rows reachable over links of at most
     two differing bits.  Texts without words (null, empty, blank) have fingerprint 0
     and are linked like any other; a text of fewer words than ``shingle`` is one
     shingle.  Rows with a null id are linked too but lend no id: the component of only
     such rows is null.  Repeated rows each give a row.  An empty table gives none.
     """
+    if least is not None:
+        found = near_copies(df, id_col, text_col, shingle, least)
+        return found.select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("fp"), "component_id")
     rows = cut(fingerprints(df, id_col, text_col, shingle))
     per_fp = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(connected_components(links(per_fp.select("fp"))))
