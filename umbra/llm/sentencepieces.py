@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from umbra.llm.common import arrow_batches, cut, inputs
 
 SPACE = "▁"
-GIANT = 1 << 16
-CHUNK = 1 << 14
+#: Characters from which a text is scanned in chunks, and of a chunk.
+GIANT, CHUNK = 1 << 14, 1 << 12
 FAN = 64
 CACHE_WORDS = 250_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -260,28 +260,33 @@ def _giants(rows: DataFrame, model, chunk: int) -> DataFrame:
     context = 64  # characters kept beside a chunk; no piece is longer
 
     def split(iterator):
-        import pandas as pd
+        import pyarrow as pa
 
-        for pdf in iterator:
-            for doc, text, row in zip(pdf["doc_id"], pdf["text"], pdf["row"]):
+        names = ["row", "n", "x", "a", "b", "first", "last"]
+        for _, (texts, rows) in arrow_batches(iterator, ["text", "row"], 16):
+            out = []
+            for text, row in zip(texts, rows):
                 normal = SPACE + text.replace(" ", SPACE)
-                cuts = range(0, len(normal), chunk)
-                for i, a in enumerate(cuts):
+                for i, a in enumerate(range(0, len(normal), chunk)):
                     b, low = min(a + chunk, len(normal)), max(0, a - context)
-                    yield pd.DataFrame({"row": [row], "n": [i], "x": [normal[low : b + context]], "a": [a - low], "b": [b - low], "first": [a == 0], "last": [b == len(normal)]})
+                    out.append((row, i, normal[low : b + context], a - low, b - low, a == 0, b == len(normal)))
+            columns = list(zip(*out)) or [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     def transfers(iterator):
-        import pandas as pd
+        import pyarrow as pa
 
         pieces = loaded(model.value)
-        for pdf in iterator:
-            ms = [pieces.transfer(*r) for r in zip(pdf["x"], pdf["a"], pdf["b"], pdf["first"], pdf["last"])]
-            yield pdf.assign(height=[m.shape[0] for m in ms], m=[m.tobytes() for m in ms])
+        for batch, columns in arrow_batches(iterator, ["x", "a", "b", "first", "last"]):
+            ms = [pieces.transfer(*r) for r in zip(*columns)]
+            made = [pa.array([m.shape[0] for m in ms], pa.int64()), pa.array([m.tobytes() for m in ms], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "height", "m"])
 
     texts = cut(rows)
     layout = "row long, n long, x string, a int, b int, first boolean, last boolean"
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = cut(texts.mapInPandas(split, layout).repartition(n, "row", "n").mapInPandas(transfers, layout + ", height long, m binary"))
+    chunks = cut(texts.mapInArrow(split, layout).repartition(n, "row", "n").mapInArrow(transfers, layout + ", height long, m binary"))
     matrix = lambda height, m: np_matrix(m, height)
 
     def combined(pdf):
@@ -317,12 +322,15 @@ def _giants(rows: DataFrame, model, chunk: int) -> DataFrame:
         known = cut(down.applyInPandas(lambda pdf: handed(pdf), "row long, n long, enter long, leave long, before long"))
 
     def traced(iterator):
+        import pyarrow as pa
+
         pieces = loaded(model.value)
-        for pdf in iterator:
-            ids = [pieces.trace(*r) for r in zip(*(pdf[c] for c in ("x", "a", "b", "first", "last", "enter", "leave")))]
-            yield pdf[["row", "n", "before"]].assign(ids=ids)
+        for batch, columns in arrow_batches(iterator, ["x", "a", "b", "first", "last", "enter", "leave"]):
+            ids = pa.array([pieces.trace(*r) for r in zip(*columns)], pa.binary())
+            kept = [batch.column(batch.schema.get_field_index(c)) for c in ("row", "n", "before")]
+            yield pa.RecordBatch.from_arrays([*kept, ids], ["row", "n", "before", "ids"])
 
-    parts = chunks.drop("height", "m").join(known, ["row", "n"]).mapInPandas(traced, "row long, n long, before long, ids binary")
+    parts = chunks.drop("height", "m").join(known, ["row", "n"]).mapInArrow(traced, "row long, n long, before long, ids binary")
     joined = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("before", "n", "ids"))).alias("p"))  # one document's ids
     joined = joined.select("row", F.col("p.ids").alias("p"), F.size("p").cast("long").alias("n_chunks"))
     whole = F.unhex(F.array_join(F.transform("p", F.hex), ""))
@@ -336,11 +344,10 @@ def np_matrix(m: bytes, height: int):
 
 
 def decode(df: DataFrame, model_path: str, ids_col: str = "ids") -> DataFrame:
-    """``df`` with a column ``decoded``: the text of ``ids_col`` (null for null)."""
+    """``df`` with a column ``decoded``, in place of one of that name: the text of ``ids_col`` (null for null)."""
     with open(model_path, "rb") as f:
         model = df.sparkSession.sparkContext.broadcast(f.read())
-    if "decoded" in df.columns:
-        raise ValueError("df has a column decoded")
+    df = df.drop("decoded")
     kinds = df.schema.simpleString()
 
     def run(iterator):
