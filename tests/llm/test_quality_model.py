@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow.parquet as pq
 
-from umbra.llm.quality_model import N_CONTENT, N_META, CoTrained, _views, co_train, content, metadata, score, train
+from umbra.llm.quality_model import N_CONTENT, N_META, CoTrained, Logistic, _views, co_train, content, metadata, score, train
 
 GOOD = "people water house river morning evening market garden window letter story city mountain".split()
 
@@ -29,6 +29,68 @@ def test_held_out_accuracy(spark):
     assert model.given[0][0] > 0  # the content view was sure of pool rows
 
 
+def test_against_a_plain_loop(spark):
+    """Round by round in plain Python, all unlabelled documents at hand, with the same numbers."""
+    rows = corpus(300)
+    df = spark.createDataFrame([(i, t, s, g, len(t)) for i, t, s, g, _ in rows], "doc_id long, text string, source string, lang string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, *_, y in rows if i % 3 == 0 or i % 7 == 0], "doc_id long, quality int")
+    model = train(df, labels, rounds=2)
+    hashed = {r.k: r.h for r in spark.range(300).selectExpr("id as k", "xxhash64(id) as h").collect()}
+    truth = {i: y for i, *_, y in rows if i % 3 == 0 or i % 7 == 0}
+    known, others = sorted(truth, key=hashed.get), sorted((i for i in range(300) if i not in truth), key=hashed.get)
+    exact = {i: [v[0] for v in _views([(t, s, g, len(t))])] for i, t, s, g, _ in rows}
+    rounded = {i: [v.astype(np.float16).astype(np.float32) for v in x] for i, x in exact.items()}
+    train_ids = [k for n, k in enumerate(known) if n % 5 != 4]
+    held = [k for n, k in enumerate(known) if n % 5 == 4]
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    extra = [{}, {}]
+    for turn in range(3):
+        fitted = []
+        for view in (0, 1):
+            ids = [*train_ids, *extra[view]]
+            y = [*(truth[k] for k in train_ids), *extra[view].values()]
+            w = np.array([1.0] * len(train_ids) + [0.5] * len(extra[view]))
+            m = Logistic().fit(np.array([rounded[k][view] for k in ids]), np.array(y, float), w)
+            platt = Logistic(1e-3).fit(np.array([[m.logit(rounded[k][view])] for k in held]), np.array([truth[k] for k in held], float))
+            fitted.append((m, float(platt.coef[0]), platt.bias))
+        if turn < 2:
+            extra = [{}, {}]
+            for k in others:
+                for view, (m, a, b) in enumerate(fitted):
+                    p = sig(a * m.logit(exact[k][view]) + b)
+                    if p >= 0.97 or p <= 0.03:
+                        extra[1 - view][k] = float(p >= 0.97)
+            assert model.given[turn] == (len(extra[1]), len(extra[0])) and sum(map(len, extra)) > 50
+    logit = lambda k, x: [np.clip(a * m.logit(x[k][v]) + b, -30, 30) for v, (m, a, b) in enumerate(fitted)]
+    joint = Logistic(1e-3).fit(np.array([logit(k, rounded) for k in held]), np.array([truth[k] for k in held], float))
+    got = {r.doc_id: r for r in score(df, model).collect()}
+    for k in range(300):
+        c, m = logit(k, exact)
+        want = [sig(c), sig(m), sig(max(joint.coef[0], 0) * c + max(joint.coef[1], 0) * m + joint.bias)]
+        assert np.allclose([got[k].content_score, got[k].metadata_score, got[k].score], want, atol=2e-3)
+
+
+def test_pseudo_labels_come_from_all_documents(spark):
+    rows = corpus(400)
+    df = spark.createDataFrame([(i, t, s, g, len(t)) for i, t, s, g, _ in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, y) for i, *_, y in rows if i < 120], "doc_id long, quality int")
+    model = train(df, labels, pseudo=10, rounds=1)  # few for a fit, whoever is sure is counted
+    assert model.given[0][0] > 200
+
+
+def test_ties_and_repeated_rows(spark):
+    rows = corpus(120)
+    df = spark.createDataFrame([(i, t, s, g, len(t)) for i, t, s, g, _ in rows + rows[:40]], "doc_id long, text string, source string, lang string, n_chars long")
+    labels = [(i, y) for i, *_, y in rows] + [(i, 1 - y) for i, *_, y in rows[:2]]  # contradicted: 1
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = train(df, labels, rounds=1)
+    got = score(df, model).collect()
+    by_id: dict = {}
+    for r in got:
+        by_id.setdefault(r.doc_id, set()).add((r.score, r.kept))
+    assert len(got) == 160 and all(len(v) == 1 for v in by_id.values())
+
+
 def test_views_teach_each_other():
     """A view with few informative labels gains from the other's pseudo-labels."""
     rng = np.random.default_rng(0)

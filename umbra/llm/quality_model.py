@@ -3,15 +3,14 @@
 The content view sees the text: hashed byte trigrams and the shares of letters, capitals,
 digits, symbols, repeated and distinct words.  The metadata view sees what surrounds
 it: source, declared language, length and the layout in lines.  Each view has a
-logistic classifier, calibrated on labelled rows held out from it.  In each round, each
-gives the pool rows that it is confident of to the other's training rows as
-pseudo-labels; a view that can't be confident gives none.  At the end the calibrated
-log-odds of the views are combined by a third logistic model, fitted on the held-out
-rows, and score every document of the corpus.
-
-The classifiers are fitted on the driver from bounded samples, LABELLED labelled and
-POOL unlabelled documents, the first by a hash of their ids; everything else runs over
-all rows.
+logistic classifier, calibrated on labelled rows held out from it.  In each round both
+score every unlabelled document of the corpus; what one is confident of becomes a
+pseudo-label in the other's training rows.  A view that can't be confident gives none.
+At the end the calibrated log-odds of the views are combined by a third logistic model,
+fitted on the held-out rows, and score every document of the corpus.
+
+A fit on the driver takes a bounded sample: LABELLED labelled documents, and of the
+pseudo-labelled ones PSEUDO for a view and round, both the first by a hash of their ids.
 """
 
 from __future__ import annotations
@@ -23,9 +22,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import arrow_batches, inputs
+from umbra.llm.common import arrow_batches, cut, inputs, join_per_key, small_batches
 
-LABELLED, POOL = 6000, 6000
+LABELLED, PSEUDO = 6000, 3000
 ROUNDS = 3
 CONFIDENT = 0.97
 THRESHOLD = 0.5
@@ -126,38 +125,55 @@ class CoTrained:
         return sigmoid(np.column_stack([*logits, c * logits[0] + m * logits[1] + bias]).astype(np.float64))
 
 
-def co_train(xs, y, pool, rounds: int = ROUNDS, confident: float = CONFIDENT) -> CoTrained:
-    """Fit on labelled rows (``xs``: the two views, ``y``) and unlabelled ``pool`` rows (two views).
+class CoTraining:
+    """The labelled rows (two views), every fifth held out for calibration, and fits with more rows."""
+
+    def __init__(self, xs, y):
+        self.xs, self.y = xs, np.asarray(y, dtype=np.float64)
+        self.share = float(self.y.mean()) if len(self.y) else 1.0
+        self.held = np.arange(len(self.y)) % 5 == 4
+        self.both = len({*self.y[self.held]}) == 2 and len({*self.y[~self.held]}) == 2
+        self.given: list[tuple[int, int]] = []
+
+    def fit(self, extra) -> None:
+        """``extra``: for each view the rows and labels that the other one gave it."""
+        self.views, self.scales = [], []
+        for x, (more, label) in zip(self.xs, extra):
+            rows = np.concatenate([x[~self.held], more])
+            weight = np.concatenate([np.ones((~self.held).sum()), np.full(len(more), 0.5)])
+            model = Logistic().fit(rows, np.concatenate([self.y[~self.held], label]), weight)
+            platt = Logistic(1e-3).fit(model.logit(x[self.held])[:, None], self.y[self.held])
+            self.views.append(model)
+            self.scales.append((float(max(platt.coef[0], 0.0)), platt.bias if platt.coef[0] > 0 else float(np.log(self.share / (1 - self.share)))))
+
+    def probabilities(self, xs) -> np.ndarray:
+        """Columns: by content, by metadata."""
+        return np.column_stack([sigmoid(a * v.logit(x) + b) for v, (a, b), x in zip(self.views, self.scales, xs)]).reshape(-1, 2)
+
+    def finished(self) -> CoTrained:
+        logits = np.column_stack([np.clip(a * v.logit(x[self.held]) + b, -30, 30) for v, (a, b), x in zip(self.views, self.scales, self.xs)])
+        joint = Logistic(1e-3).fit(logits, self.y[self.held])
+        weights = tuple(float(max(c, 0.0)) for c in joint.coef)
+        return CoTrained(self.share, tuple((v.coef.astype(np.float32), v.bias) for v in self.views), tuple(self.scales), (weights, joint.bias), tuple(self.given))
 
-    Every fifth labelled row is held out for calibration.
-    """
-    y = np.asarray(y, dtype=np.float64)
-    share = float(y.mean()) if len(y) else 1.0
-    held = np.arange(len(y)) % 5 == 4
-    if len({*y[held]}) < 2 or len({*y[~held]}) < 2:
-        return CoTrained(share)
-    extra = [(np.zeros(0, dtype=np.int64), np.zeros(0)) for _ in range(2)]
-    given = []
-    for turn in range(rounds + 1):
-        views, scales = [], []
-        for x, p, (at, label) in zip(xs, pool, extra):
-            rows = np.concatenate([x[~held], p[at]])
-            weight = np.concatenate([np.ones((~held).sum()), np.full(len(at), 0.5)])
-            model = Logistic().fit(rows, np.concatenate([y[~held], label]), weight)
-            platt = Logistic(1e-3).fit(model.logit(x[held])[:, None], y[held])
-            views.append(model)
-            scales.append((float(max(platt.coef[0], 0.0)), platt.bias if platt.coef[0] > 0 else float(np.log(share / (1 - share)))))
-        if turn == rounds:
-            break
-        for other, (model, (a, b), p) in enumerate(zip(views, scales, pool)):
-            prob = sigmoid(a * model.logit(p) + b) if len(p) else np.zeros(0)
-            sure = np.flatnonzero((prob >= confident) | (prob <= 1 - confident))
-            extra[1 - other] = (sure, (prob[sure] > 0.5).astype(np.float64))
-        given.append((len(extra[1][0]), len(extra[0][0])))  # by content, by metadata
-    logits = np.column_stack([np.clip(a * v.logit(x[held]) + b, -30, 30) for v, (a, b), x in zip(views, scales, xs)])
-    joint = Logistic(1e-3).fit(logits, y[held])
-    weights = tuple(float(max(c, 0.0)) for c in joint.coef)
-    return CoTrained(share, tuple((v.coef.astype(np.float32), v.bias) for v in views), tuple(scales), (weights, joint.bias), tuple(given))
+
+def sure(probabilities: np.ndarray, confident: float = CONFIDENT) -> np.ndarray:
+    """1 and 0 where a view is confident of that, -1 elsewhere."""
+    return np.where(probabilities >= confident, 1, np.where(probabilities <= 1 - confident, 0, -1))
+
+
+def co_train(xs, y, pool, rounds: int = ROUNDS, confident: float = CONFIDENT) -> CoTrained:
+    """Fit on labelled rows (``xs``: the two views, ``y``) and unlabelled ``pool`` rows (two views), all at hand."""
+    training = CoTraining(xs, y)
+    if not training.both:
+        return CoTrained(training.share)
+    training.fit([(p[:0], np.zeros(0)) for p in pool])
+    for _ in range(rounds):
+        said = sure(training.probabilities(pool), confident)
+        extra = [(pool[view][said[:, 1 - view] >= 0], said[said[:, 1 - view] >= 0, 1 - view].astype(np.float64)) for view in (0, 1)]
+        training.given.append((len(extra[1][0]), len(extra[0][0])))  # by content, by metadata
+        training.fit(extra)
+    return training.finished()
 
 
 def _views(rows):
@@ -171,24 +187,10 @@ def _views(rows):
 _INPUTS = {"_t": ("text", "string"), "_s": ("source", "string"), "_g": ("lang", "string"), "_c": ("n_chars", "long")}
 
 
-def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled: int = LABELLED, pool: int = POOL) -> CoTrained:
-    """Fit from at most ``labelled`` labelled and ``pool`` other documents of ``df``.
-
-    Documents are taken in the order of a hash of their ids; one id counts once, with
-    the majority of its labels (1 of two as frequent) and the first of its rows.  Null
-    ids and null labels take no part.  Without both classes among the labelled rows the
-    model's only score is the share of label 1, or 1.0 without labels.
-    """
-    votes = inputs(labels, _k=(id_col, "long"), _y=(label_col, "double")).where("_k is not null and _y is not null")
-    votes = votes.groupBy("_k").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
-    rows = inputs(df, _k=(id_col, "long"), **_INPUTS)
-    ids = rows.select("_k").where("_k is not null").distinct()
-    some = ids.join(votes, "_k").orderBy(F.xxhash64("_k"), "_k").limit(labelled)
-    rest = ids.join(votes, "_k", "left_anti").orderBy(F.xxhash64("_k"), "_k").limit(pool).withColumn("_y", F.lit(None).cast("int"))
-    chosen = [(r["_k"], r["_y"]) for r in some.union(rest).collect()]  # labelled + pool rows at most
-    if not any(y is not None for _, y in chosen):
-        return CoTrained()
-    wanted = df.sparkSession.createDataFrame(chosen, "_k long, _y int")
+def _features(rows: DataFrame, ids: list[int]) -> dict[int, bytes]:
+    """The views of the documents ``ids``, as float16: of a bounded number, they come to the driver."""
+    if not ids:
+        return {}
 
     def featured(iterator):
         import pyarrow as pa
@@ -198,14 +200,78 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: s
             packed = [np.concatenate([a, b]).astype(np.float16).tobytes() for a, b in zip(c, m)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["_k", "x"])
 
-    found = rows.join(F.broadcast(wanted.select("_k")), "_k").mapInArrow(featured, "_k long, x binary")
-    found = {r["_k"]: r["x"] for r in found.groupBy("_k").agg(F.min("x").alias("x")).collect()}
-    unpacked = lambda ks: np.array([np.frombuffer(found[k], np.float16) for k in ks], dtype=np.float32).reshape(-1, N_CONTENT + N_META)
-    order = [(k, y) for k, y in chosen if k in found]
-    x = unpacked(k for k, y in order if y is not None)
-    u = unpacked(k for k, y in order if y is None)
-    split = lambda a: (a[:, :N_CONTENT], a[:, N_CONTENT:])
-    return co_train(split(x), [y for _, y in order if y is not None], split(u))
+    wanted = rows.sparkSession.createDataFrame([(k,) for k in ids], "_k long")
+    found = rows.join(F.broadcast(wanted), "_k").mapInArrow(featured, "_k long, x binary")
+    with small_batches(rows.sparkSession):
+        return {r["_k"]: r["x"] for r in found.groupBy("_k").agg(F.min("x").alias("x")).collect()}
+
+
+def _unpacked(found: dict[int, bytes], ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    x = np.array([np.frombuffer(found[k], np.float16) for k in ids], dtype=np.float32).reshape(-1, N_CONTENT + N_META)
+    return x[:, :N_CONTENT], x[:, N_CONTENT:]
+
+
+def _pseudo_labels(rows: DataFrame, votes: DataFrame, training: CoTraining, confident: float) -> DataFrame:
+    """(_k, by_content, by_metadata) of all unlabelled documents that a view is sure of; -1 where it isn't."""
+    shared = rows.sparkSession.sparkContext.broadcast((training.views, training.scales))  # weights of fixed number
+
+    def run(iterator):
+        import pyarrow as pa
+
+        views, scales = shared.value
+        for batch, columns in arrow_batches(iterator, ["_t", "_s", "_g", "_c"]):
+            xs = _views(zip(*columns))
+            said = sure(np.column_stack([sigmoid(a * v.logit(x) + b) for v, (a, b), x in zip(views, scales, xs)]).reshape(-1, 2), confident)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(said[:, i], pa.int32()) for i in (0, 1))], ["_k", "by_content", "by_metadata"])
+
+    said = cut(rows.mapInArrow(run, "_k long, by_content int, by_metadata int").where("by_content >= 0 or by_metadata >= 0"))
+    first = said.groupBy("_k").agg(F.min(F.struct("by_content", "by_metadata")).alias("s")).select("_k", "s.*")
+    return join_per_key(first, votes, "_k", "left_anti")
+
+
+def train(
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    label_col: str = "quality",
+    labelled: int = LABELLED,
+    pseudo: int = PSEUDO,
+    rounds: int = ROUNDS,
+    confident: float = CONFIDENT,
+) -> CoTrained:
+    """Fit from at most ``labelled`` labelled documents of ``df``, with pseudo-labels drawn from all others.
+
+    A fit takes at most ``pseudo`` pseudo-labelled documents for each view.  Documents
+    are taken in the order of a hash of their ids; one id counts once, with the majority
+    of its labels (1 of two as frequent) and the least of its rows.  Null ids and null
+    labels take no part.  Without both classes among the labelled rows the model's only
+    score is the share of label 1, or 1.0 without labels.
+    """
+    votes = inputs(labels, _k=(id_col, "long"), _y=(label_col, "double")).where("_k is not null and _y is not null")
+    votes = cut(votes.groupBy("_k").agg((F.avg("_y") >= 0.5).cast("int").alias("_y")))
+    rows = inputs(df, _k=(id_col, "long"), **_INPUTS).where("_k is not null")
+    ids = rows.select("_k").distinct()
+    some = {r["_k"]: r["_y"] for r in ids.join(votes, "_k").orderBy(F.xxhash64("_k"), "_k").limit(labelled).collect()}
+    found = _features(rows, list(some))
+    order = [k for k in some if k in found]
+    training = CoTraining(_unpacked(found, order), [some[k] for k in order])
+    if not training.both:
+        return CoTrained(training.share)
+    none = [np.zeros((0, n), np.float32) for n in (N_CONTENT, N_META)]
+    training.fit([(x, np.zeros(0)) for x in none])
+    found = {}
+    for _ in range(rounds):
+        said = cut(_pseudo_labels(rows, votes, training, confident))
+        n = said.agg(*(F.count_if(F.col(c) >= 0).alias(c) for c in ("by_content", "by_metadata"))).first()
+        training.given.append((n.by_content, n.by_metadata))
+        given = []  # to the content view by metadata, to the metadata view by content
+        for by in ("by_metadata", "by_content"):
+            given.append([(r["_k"], r[by]) for r in said.where(F.col(by) >= 0).orderBy(F.xxhash64("_k"), "_k").limit(pseudo).select("_k", by).collect()])
+        wanted = {k for side in given for k, _ in side}
+        found = {k: x for k, x in found.items() if k in wanted}
+        found |= _features(rows, sorted(wanted - found.keys()))
+        training.fit([(_unpacked(found, [k for k, _ in side])[view], np.array([y for _, y in side], dtype=np.float64)) for view, side in enumerate(given)])
+    return training.finished()
 
 
 def score(df: DataFrame, model: CoTrained, threshold: float = THRESHOLD, id_col: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.llm.common import table
+from umbra.llm.common import cut, table
 from umbra.llm.language import identify, page_inputs
 from umbra.llm.licences import TEMPLATES, THRESHOLD, scan
 from umbra.llm.line_dedup import PER, line_classes
@@ -56,7 +56,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs, table(spark, sf_dir, "labels")))
+    return cut(score(docs, train(docs, table(spark, sf_dir, "labels"))))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the ids' number and checksum, and whether decoding them gives the text back."""
     model = tokenizer("piece_bpe_32k.model")
     out = decode(encode(table(spark, sf_dir, "documents"), model), model)
-    return out.select(
+    digest = out.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_ids"),
         F.crc32("ids").alias("ids_crc32"),
@@ -79,6 +79,7 @@ def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("decoded").cast("long").alias("decoded_bytes"),
         (F.col("decoded") == F.col("text")).alias("round_trip"),
     )
+    return cut(digest)  # texts go through two steps in Python: in small batches
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
