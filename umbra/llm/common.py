@@ -92,3 +92,17 @@ def arrow_batches(iterator, columns: list[str], rows: int = 512):
         for i in range(0, max(whole.num_rows, 1), rows):
             batch = whole.slice(i, rows)
             yield batch, [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns]
+    release()
+
+
+def release() -> None:
+    """Give back what a task no longer uses: the worker goes on to other tasks, of other stages too."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

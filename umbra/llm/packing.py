@@ -20,12 +20,12 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbra.llm.common import arrow_batches, cut, inputs, join_per_key
+from umbra.llm.common import arrow_batches, cut, inputs, join_per_key, release
 
-#: Encodings that a worker keeps, by word; then it starts anew.
+#: Encodings that a task keeps, by word; then it starts anew.
 CACHE_WORDS = 400_000
 #: Characters of text that are encoded at a time.
-TEXT_RUN = 1 << 20
+TEXT_RUN = 1 << 18
 #: A single space between two characters that are not white space: byte-level BPE of this
 #: vocabulary's pattern never joins what stands before it with what follows from it on.
 _GAP = re.compile(r"(?<=\S) (?=\S)")
@@ -69,6 +69,10 @@ class WordEncoder:
             self._kept[w] = flat[start:stop]
             start = stop
 
+    def forget(self) -> None:
+        self._kept.clear()
+        self._firsts.clear()
+
     def ids(self, texts: list[str]) -> list[bytes]:
         kept, firsts = self._kept, self._firsts
         parts = [_GAP.split(t) if t else [""] for t in texts]
@@ -161,6 +165,8 @@ def pack(
                         counts[bucket] += 1
             kinds = [pa.int64()] * 6 + [pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
+        words.forget()
+        release()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "_n", "_task", "ids"]
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _n long, _task int, ids array<long>"

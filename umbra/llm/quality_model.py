@@ -85,9 +85,16 @@ class Logistic:
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> "Logistic":
         w = np.ones(len(y)) if weight is None else weight
         w = (w / w.sum()).astype(np.float64)
-        self.mean = np.average(x, axis=0, weights=w)
-        self.scale = np.sqrt(np.average((x - self.mean) ** 2, axis=0, weights=w)) + 0.02
-        z = ((x - self.mean) / self.scale).astype(np.float32)
+        first, second = np.zeros(x.shape[1]), np.zeros(x.shape[1])
+        for i in range(0, len(x), 1024):  # a block at a time: its squares are wider than the rows
+            block = x[i : i + 1024].astype(np.float64)
+            first += w[i : i + 1024] @ block
+            second += w[i : i + 1024] @ (block * block)
+        self.mean = first
+        self.scale = np.sqrt(np.maximum(second - first * first, 0)) + 0.02
+        z = x.astype(np.float32)
+        z -= self.mean.astype(np.float32)
+        z /= self.scale.astype(np.float32)
         theta, first, second = np.zeros(z.shape[1] + 1), 0.0, 0.0
         for t in range(1, self.steps + 1):
             error = w * (sigmoid(z @ theta[:-1].astype(np.float32) + theta[-1]) - y)
