@@ -4,7 +4,7 @@ from umbra.llm.licences import TEMPLATES, THRESHOLD, bigrams, key_words, scan, s
 
 
 def brute(text):
-    units = {text, *re.split(r"\n[ \t\r]*\n", text), *text.split("\n")} if text else set()
+    units = {text, *re.split(r"\n[ \t\r]*\n", text), *text.split("\n"), *re.split(r"[.!?;:]+\s+", text)} if text else set()
     best, hits = None, set()
     for u in units:
         a = bigrams(u)
@@ -13,13 +13,35 @@ def brute(text):
             d = 2 * len(a & b) / (len(a) + len(b))
             if d >= THRESHOLD:
                 hits.add(a)
-                if best is None or (d, -i) > best[:2]:
-                    best = (d, -i, name)
-    return (best[2], -best[1], best[0], len(hits)) if best else (None, None, None, 0)
+                if best is None or (name[:11] != "LicenseRef-", d, -i) > best[:3]:
+                    best = (name[:11] != "LicenseRef-", d, -i, name)
+    return (best[3], -best[2], best[1], len(hits)) if best else (None, None, None, 0)
 
 
 MIT = TEMPLATES[2][1]
+BSD = """Copyright (c) 2020, Acme Inc.
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+CLAUSE = """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
 TEXTS = [
+    BSD,
+    BSD + CLAUSE,
+    "Copyright 2020 Acme Inc. All rights reserved. Some prose follows.",
+    "Our tool is new. This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published\nby the Free Software Foundation, either version 3 of the License, or (at your option) any later version. More prose.",
     "Some prose.\nLicensed under the Apache License, Version 2.0.\nMore prose follows here.",
     "© 2020 Jane. ALL RIGHTS RESERVED",
     "all rights\nreserved",
@@ -39,7 +61,8 @@ def test_against_every_template(spark, odd):
     texts = TEXTS + [r.text for r in odd.select("text").collect()]
     rows = scan(spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, top int, found string")).collect()
     assert {r.doc_id: (r.licence, r.template, r.dice, r.n_matches) for r in rows} == {i: brute(t) for i, t in enumerate(texts)}
-    assert sum(r.licence is not None for r in rows) >= 8
+    assert sum(r.licence is not None for r in rows) >= 10
+    assert [r.licence for r in sorted(rows, key=lambda r: r.doc_id)[:3]] == ["BSD-2-Clause", "BSD-3-Clause", "LicenseRef-All-Rights-Reserved"]
 
 
 def test_bounds_and_keys_lose_nothing():

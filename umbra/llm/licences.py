@@ -1,7 +1,7 @@
 """Licence scans: Dice coefficient over word bigrams against templates (DataFrame functions only).
 
-Units of a text are the whole text, its paragraphs (parted by blank lines) and its
-lines.  Units and templates are normalised alike: lower case, every run of characters
+Units of a text are the whole text, its paragraphs (parted by blank lines), its lines and
+its sentences (in the whole text, so also those wrapped over lines).  Units and templates are normalised alike: lower case, every run of characters
 that are neither letters nor digits one space.  With a unit's and a template's sets of
 bigrams A and B, 2|A and B| / (|A| + |B|) can reach the threshold t only if |A| lies
 between t / (2 - t) and (2 - t) / t times |B|: those bounds name the few templates a
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from umbra.llm.common import inputs
 
 THRESHOLD = 0.85
+SENTENCE_END = r"[.!?;:]+\s+"
 
 # Public licence notices and grants, by SPDX identifier.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -98,6 +99,33 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
         "contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
+    (
+        "BSD-3-Clause",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    ),
+    (
+        "BSD-2-Clause",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "BSD-2-Clause",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT "
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT "
+        "HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY "
+        "THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE "
+        "OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
     (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the "
@@ -158,8 +186,9 @@ def scan(
     """One row for each row of ``df``: doc_id, licence, template, dice, n_matches.
 
     licence and template (its number) are those of the largest coefficient over all
-    units, of equal ones the first template; null, with n_matches 0, where no unit
-    reaches ``threshold``.  n_matches counts the different units that reach it.  Null,
+    units, of equal ones the first template; a template that names no licence
+    (``LicenseRef-``) only counts where no other matches.  null, with n_matches 0, where
+    no unit reaches ``threshold``.  n_matches counts the different units that reach it.  Null,
     empty and blank texts match nothing; repeated rows each give a row; ids may be null.
     """
     sets = [bigrams(t) for _, t in templates]
@@ -168,7 +197,7 @@ def scan(
     keys = key_words(templates, threshold)
     text = F.col("_t")
     may = F.lower(text).rlike(r"(?<![\p{L}\p{N}])(?:" + "|".join(map(re.escape, keys)) + r")(?![\p{L}\p{N}])") if keys else F.lit(False)
-    units = F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n")))
+    units = F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n"), F.split(text, SENTENCE_END)))
     words = F.transform(units, lambda u: F.split(F.trim(F.regexp_replace(F.lower(u), r"[^\p{L}\p{N}]+", " ")), " "))
     fits = lambda w: (F.size(w) > low) & ((F.size(w) - 1 <= high) | (F.size(F.array_distinct(w)) - 1 <= high))
 
@@ -178,20 +207,21 @@ def scan(
     def best(b: Column) -> Column:
         n = F.size(b)
         scores = [
-            F.when(n.between(lo, hi), F.struct((F.lit(2.0) * F.size(F.array_intersect(b, F.array(*map(F.lit, sorted(s))))) / (n + len(s))).alias("dice"), F.lit(-i).alias("t")))
-            for i, (s, (lo, hi)) in enumerate(zip(sets, bounds))
+            F.when(n.between(lo, hi), F.struct(F.lit(not name.startswith("LicenseRef-")).alias("named"), (F.lit(2.0) * F.size(F.array_intersect(b, F.array(*map(F.lit, sorted(s))))) / (n + len(s))).alias("dice"), F.lit(-i).alias("t")))
+            for i, (s, (lo, hi), (name, _)) in enumerate(zip(sets, bounds, templates))
             if s
         ]
-        return F.array_max(F.array(*scores))
+        # Of what reaches the threshold, so that a named licence below it does not stand before the rest.
+        return F.array_max(F.filter(F.array(*scores), lambda x: x["dice"] >= threshold))
 
     rows = inputs(df, doc_id=(id_col, "long"), _t=(text_col, "string"))
     if not any(sets):
-        found = F.array().cast("array<struct<dice:double,t:int>>")
+        found = F.array().cast("array<struct<named:boolean,dice:double,t:int>>")
         rows = rows.select("doc_id", found.alias("found"))
     else:
         rows = rows.select("doc_id", F.when(may, F.filter(words, fits)).alias("words"))
         rows = rows.select("doc_id", F.array_distinct(F.transform("words", pairs)).alias("pairs"))
-        rows = rows.select("doc_id", F.filter(F.transform("pairs", best), lambda s: s["dice"] >= threshold).alias("found"))
+        rows = rows.select("doc_id", F.filter(F.transform("pairs", best), lambda s: s.isNotNull()).alias("found"))
     top = F.array_max("found")
     names = F.array(*(F.lit(name) for name, _ in templates)) if templates else F.array().cast("array<string>")
     rows = rows.select("doc_id", top.alias("top"), F.coalesce(F.size("found"), F.lit(0)).alias("n"))

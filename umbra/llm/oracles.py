@@ -66,13 +66,14 @@ WITH t AS (
 u AS (
   SELECT DISTINCT doc_id, list_sort({grams.format("w")}) AS b FROM (
     SELECT doc_id, string_split({norm.format("u")}, ' ') AS w FROM (
-      SELECT doc_id, unnest(list_concat([text], list_concat(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), string_split(text, chr(10))))) AS u
+      SELECT doc_id, unnest(list_concat([text], list_concat(regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'),
+        list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '[.!?;:]+[ \\t-\\r]+'))))) AS u
       FROM documents))),
 s AS (
   SELECT doc_id, u.b AS ub, i, licence, 2.0::DOUBLE * len(list_intersect(u.b, t.b)) / (len(u.b) + len(t.b)) AS dice
   FROM u JOIN t ON len(u.b) BETWEEN 0.7 * len(t.b) AND 1.4 * len(t.b)),
 m AS (SELECT * FROM s WHERE dice >= {threshold}),
-b AS (SELECT doc_id, arg_max(struct_pack(licence, i), struct_pack(dice, j := -i)) AS x, max(dice) AS dice, count(DISTINCT ub) AS n FROM m GROUP BY doc_id)
-SELECT documents.doc_id, x.licence AS licence, x.i::INTEGER AS template, round(dice, 6) AS dice, coalesce(n, 0)::BIGINT AS n_matches
+b AS (SELECT doc_id, arg_max(struct_pack(licence, i, dice), struct_pack(named := licence NOT LIKE 'LicenseRef-%', dice, j := -i)) AS x, count(DISTINCT ub) AS n FROM m GROUP BY doc_id)
+SELECT documents.doc_id, x.licence AS licence, x.i::INTEGER AS template, round(x.dice, 6) AS dice, coalesce(n, 0)::BIGINT AS n_matches
 FROM documents LEFT JOIN b ON documents.doc_id = b.doc_id
 """
