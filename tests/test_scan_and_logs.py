@@ -11,6 +11,7 @@ from umbra.operators.scanning import report, scan_contents, scan_documents, stat
 from umbra.profiles import from_config, load
 from umbra.queries import file_source
 from umbra.scan import main
+from umbra.sources import allfiles
 from umbra.sources.allfiles import collect_files, missing_paths, read_files
 from umbra.streaming.logs import batch_lines, log_lines, tap
 
@@ -43,6 +44,16 @@ def test_listing(tmp_path):
     assert missing_paths([str(tmp_path), f"{tmp_path}/none"]) == [f"{tmp_path}/none"]
 
 
+def test_trees_are_listed_in_parts(tmp_path, monkeypatch):
+    monkeypatch.setattr(allfiles, "OPENED", 3)
+    for i in range(5):
+        tree(tmp_path / f"d{i}")
+    reader = allfiles._Reader({"paths": json.dumps([f"{tmp_path}/d0/.env", str(tmp_path), f"{tmp_path}/d1"]), "exclude": '["*.lock"]', "max_size": "4000"})
+    parts = reader.partitions()
+    listed = [row for p in parts for row in reader.read(p)]
+    assert len(parts) > 4 and set(listed) == set(collect_files([str(tmp_path)], ["*.lock"], 4000))
+
+
 def test_scan(spark, tmp_path):
     tree(tmp_path)
     results = scan_contents(read_files(spark, [str(tmp_path)], ["*.lock"]), load("file_scan"))

@@ -1,9 +1,13 @@
 """A Spark data source over file trees that, unlike Spark's own listing, sees hidden files.
 
-Files named as such come first, then those below directories, each real path once.
-Exclude patterns are globs on base names and hold for files found in directories only.
-Files that are too large or not readable are left out when listing, so they are never
-opened.  Paths have to be visible to every executor.
+Files named as such and those below directories, each real path once.  Exclude patterns
+are globs on base names and hold for files found in directories only.  Files that are
+too large or not readable are left out when listing, so they are never opened.  Paths
+have to be visible to every executor.
+
+The driver opens directories only until there are enough for the tasks, which list the
+trees below them; the listed paths, rows of a few bytes, are dealt out by path, so that
+links to one file meet, and the tasks that get them read the contents.
 """
 
 from __future__ import annotations
@@ -12,14 +16,17 @@ import fnmatch
 import json
 import os
 import tempfile
+from collections import deque
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, length long, content binary, error string"
-#: Bytes and files that a task reads at most, but for a single larger file.
-TASK_BYTES, TASK_FILES = 64 << 20, 10_000
+#: Directories that the driver opens at most, and bytes of contents that a task hands on at a time.
+OPENED, BATCH_BYTES = 4096, 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,89 +41,134 @@ def missing_paths(paths: Iterable[str]) -> list[str]:
     return [p for p in paths if not os.path.exists(p)]
 
 
-def collect_files(paths: Iterable[str], exclude: Iterable[str] = (), max_size: int = 10_485_760, exclude_paths: Iterable[str] = ()) -> Iterator[tuple[str, int]]:
-    """(real path, size) of eligible files; paths that don't exist give nothing.
+@dataclass(frozen=True)
+class Rules:
+    """What a file found in a directory has to fulfil."""
 
-    ``exclude_paths`` are globs on the path below the directory, which base-name globs
-    such as ``vendor/*`` can't express.
-    """
-    paths, exclude, exclude_paths, seen = list(paths), list(exclude), list(exclude_paths), set()
+    exclude: tuple[str, ...] = ()
+    max_size: int = 10_485_760
+    #: Globs on the path below the directory, which base-name globs such as ``vendor/*`` can't express.
+    exclude_paths: tuple[str, ...] = ()
 
-    def eligible(path: str) -> tuple[str, int] | None:
+    def eligible(self, path: str) -> tuple[str, int] | None:
+        """(real path, size)."""
         try:
             size = os.stat(path).st_size
         except OSError:
             return None
-        real = os.path.realpath(path)
-        if size > max_size or not os.access(path, os.R_OK) or real in seen:
+        if size > self.max_size or not os.access(path, os.R_OK) or not os.path.isfile(path):
             return None
-        seen.add(real)
-        return real, size
-
-    for path in paths:
-        if os.path.isfile(path) and (found := eligible(path)):
-            yield found
-    for top in paths:
-        if not os.path.isdir(top):
-            continue
-        for folder, folders, names in os.walk(top):
-            folders.sort()
-            for name in sorted(names):
-                path = os.path.join(folder, name)
-                below = os.path.relpath(path, top)
-                if any(fnmatch.fnmatchcase(name, g) for g in exclude) or any(fnmatch.fnmatchcase(below, g) for g in exclude_paths):
-                    continue
-                if os.path.isfile(path) and (found := eligible(path)):
-                    yield found
-
-
-class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+        return os.path.realpath(path), size
+
+    def opened(self, top: str, folder: str) -> tuple[list[tuple[str, int]], list[str]]:
+        """A directory's eligible files and its directories; of one that can't be opened none."""
+        files, folders = [], []
+        try:
+            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+        except OSError:
+            return files, folders
+        for e in entries:
+            if e.is_dir(follow_symlinks=False):
+                folders.append(e.path)
+            elif not any(fnmatch.fnmatchcase(e.name, g) for g in self.exclude) and not any(fnmatch.fnmatchcase(os.path.relpath(e.path, top), g) for g in self.exclude_paths):
+                if found := self.eligible(e.path):
+                    files.append(found)
+        return files, folders
+
+    def below(self, top: str, folder: str) -> Iterator[tuple[str, int]]:
+        todo = [folder]
+        while todo:
+            files, folders = self.opened(top, todo.pop())
+            yield from files
+            todo += reversed(folders)
+
+
+def collect_files(paths: Iterable[str], exclude: Iterable[str] = (), max_size: int = 10_485_760, exclude_paths: Iterable[str] = ()) -> Iterator[tuple[str, int]]:
+    """(real path, size) of eligible files, each once, explicit ones first; paths that don't exist give nothing."""
+    paths, rules, seen = list(paths), Rules(tuple(exclude), max_size, tuple(exclude_paths)), set()
+    named = (f for p in paths if os.path.isfile(p) and (f := rules.eligible(p)))
+    for path, size in chain(named, *(rules.below(p, p) for p in paths if os.path.isdir(p))):
+        if path not in seen:
+            seen.add(path)
+            yield path, size
+
+
+class _Part(InputPartition):
+    """Files already listed, and (directory given, directory) whose trees are still to be."""
+
+    def __init__(self, files: list[tuple[str, int]], trees: list[tuple[str, str]]):
+        self.files, self.trees = files, trees
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.paths = json.loads(options.get("paths", "[]")) or [options["path"]]
-        self.exclude = json.loads(options.get("exclude", "[]"))
-        self.exclude_paths = json.loads(options.get("exclude_paths", "[]"))
-        self.max_size = int(options.get("max_size", 10_485_760))
+        lists = (tuple(json.loads(options.get(k, "[]"))) for k in ("exclude", "exclude_paths"))
+        exclude, exclude_paths = lists
+        self.rules = Rules(exclude, int(options.get("max_size", 10_485_760)), exclude_paths)
 
     def partitions(self) -> list[InputPartition]:
-        out, size = [_Files([])], 0
-        for path, n in collect_files(self.paths, self.exclude, self.max_size, self.exclude_paths):
-            if out[-1].paths and (size + n > TASK_BYTES or len(out[-1].paths) >= TASK_FILES):
-                out.append(_Files([]))
-                size = 0
-            out[-1].paths.append(path)
-            size += n
-        return out
+        files = [f for p in self.paths if os.path.isfile(p) and (f := self.rules.eligible(p))]
+        trees = deque((p, p) for p in self.paths if os.path.isdir(p))
+        opened = 0
+        while trees and len(trees) < OPENED and opened < OPENED:
+            top, folder = trees.popleft()
+            found, folders = self.rules.opened(top, folder)
+            files += found
+            trees += ((top, f) for f in folders)
+            opened += 1
+        return [_Part(files, [])] + [_Part([], [t]) for t in trees]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for path in partition.paths:
-            try:
-                with open(path, "rb") as f:
-                    content = f.read()
-                yield path, len(content), content, None
-            except OSError:
-                yield path, None, None, "File unreadable"
+        yield from partition.files
+        for top, folder in partition.trees:
+            yield from self.rules.below(top, folder)
 
 
 class AllFiles(DataSource):
-    """Options: paths, exclude and exclude_paths (JSON lists), max_size."""
+    """(path, length) of files.  Options: paths, exclude and exclude_paths (JSON lists), max_size."""
 
     @classmethod
     def name(cls) -> str:
         return "allfiles"
 
     def schema(self) -> str:
-        return SCHEMA
+        return "path string, length long"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
 
+def _contents(iterator):
+    """path, length, content and error of listed files."""
+    import pyarrow as pa
+
+    kinds = [("path", pa.string()), ("length", pa.int64()), ("content", pa.binary()), ("error", pa.string())]
+    rows, size = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows), kinds)], [n for n, _ in kinds])
+
+    for listed in iterator:
+        for path in listed.column(0).to_pylist():
+            try:
+                with open(path, "rb") as f:
+                    content = f.read()
+                rows.append((path, len(content), content, None))
+                size += len(content)
+            except OSError:
+                rows.append((path, None, None, "File unreadable"))
+            if size >= BATCH_BYTES or len(rows) >= 10_000:
+                yield batch()
+                rows, size = [], 0
+    if rows:
+        yield batch()
+
+
 def read_files(spark: SparkSession, paths: Iterable[str], exclude: Iterable[str] = (), max_size: int = 10_485_760, exclude_paths: Iterable[str] = ()) -> DataFrame:
+    """path, length, content, error of each file."""
     spark.dataSource.register(AllFiles)
     options = {"paths": json.dumps(list(paths)), "exclude": json.dumps(list(exclude)), "exclude_paths": json.dumps(list(exclude_paths)), "max_size": str(max_size)}
-    return spark.read.format("allfiles").options(**options).load()
+    listed = spark.read.format("allfiles").options(**options).load()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(n, "path").dropDuplicates(["path"]).select("path").mapInArrow(_contents, SCHEMA)
