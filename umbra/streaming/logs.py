@@ -10,11 +10,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from umbra.operators.document import DocumentMasker, decode, encode
-from umbra.operators.rules import mask_text
+from umbra.operators.rules import with_masked
 from umbra.plans.registry import resolve
 from umbra.profiles import Profile
 
 
+MASKED = "_umbra_message"
+
+
 def _context(value: Column, kind: T.DataType, profile: Profile) -> Column:
     """`` {...}`` for a context that isn't empty, masked as a document; else nothing."""
     if not isinstance(kind, T.StringType):
@@ -47,7 +50,8 @@ def log_lines(df: DataFrame, profile: Profile) -> DataFrame:
     """
     stamp = F.date_format("datetime", "yyyy-MM-dd HH:mm:ss.SSSSSS")
     context = _context(F.col("context"), df.schema["context"].dataType, profile) if "context" in df.columns else F.lit("")
-    message = F.coalesce(mask_text(F.col("message"), profile), F.lit("null"))
+    df = with_masked(df, F.col("message"), profile, MASKED, MASKED + "_hit")
+    message = F.coalesce(F.col(MASKED), F.lit("null"))
     parts = [F.lit("["), stamp, F.lit("] "), F.col("channel"), F.lit("."), F.col("level"), F.lit(": "), message, context, F.lit("\n")]
     return df.select(F.concat(*parts).alias("line"))
 
