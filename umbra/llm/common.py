@@ -71,9 +71,10 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, on: str | list[str], how:
     that it is a merge join whose hot keys adaptive execution splits (one row a key on
     the right, so splitting the left side copies one row).
     """
-    arrays = [F.coalesce(F.sum(F.size(f.name)), F.lit(0)) for f in per_key.schema if f.dataType.typeName() == "array"]
+    width = lambda f: 8 if f.dataType.elementType.typeName() in ("integer", "long", "double") else 32
+    arrays = [F.coalesce(F.sum(F.size(f.name)), F.lit(0)) * width(f) for f in per_key.schema if f.dataType.typeName() == "array"]
     found = per_key.agg(F.count("*").alias("n"), sum(arrays, F.lit(0)).alias("m")).first()
-    if found.n <= BROADCAST_ROWS and 64 * found.n + 24 * found.m <= BROADCAST_BYTES:
+    if found.n <= BROADCAST_ROWS and 64 * found.n + found.m <= BROADCAST_BYTES:
         return rows.join(F.broadcast(per_key), on, how)
     return rows.join(per_key.hint("merge"), on, how)
 
