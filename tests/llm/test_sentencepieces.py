@@ -65,3 +65,10 @@ def test_one_long_word(spark):
 
 def test_empty(none):
     assert S.encode(none, PATH).count() == 0
+
+
+def test_tables_texts_are_scanned(spark):
+    """With a chunk length that many texts of the tables reach, the ids stay the library's."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) between 9000 and 40000")
+    rows = S.encode(docs, PATH, giant=9000, chunk=2500).collect()
+    assert len(rows) > 20 and all(r.n_chunks >= 4 and ids(r.ids) == SP.encode(r.text) for r in rows)

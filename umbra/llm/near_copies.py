@@ -10,7 +10,7 @@ shingles.
 
 Texts of equal sets are one before the search.  A key's list of up to LIST sets gives
 its pairs.  Each member of a longer list is compared with LEADERS of it, drawn anew for
-each key and round; those like none of them go on to the next round with four times as
+each round; those like none of them go on to the next round with four times as
 many, until no list is longer.  So no list with a large group is paired with itself and
 no member is left out; only a link between one that is like a leader and one that is
 like none, in all lists of both, is not seen.
@@ -168,7 +168,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     many = lists.where(F.col("n") > LIST).select("key", "id")
     found, turn = None, 0
     while many.limit(1).count():
-        drawn = many.withColumn("_h", F.xxhash64("id", "key", F.lit(turn)))
+        drawn = many.withColumn("_h", F.xxhash64("id", F.lit(turn)))  # the same leaders in all lists of a group
         leaders = drawn.groupBy("key", F.pmod("_h", F.lit(LEADERS << 2 * turn)).alias("_slot")).agg(F.min(F.struct("_h", "id")).alias("_l"))
         leaders = leaders.select("key", F.col("_l.id").alias("lead"))
         stars = cut(many.join(leaders, "key").select("key", "id", "lead"))

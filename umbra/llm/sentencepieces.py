@@ -25,11 +25,11 @@ from functools import lru_cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import arrow_batches, cut, inputs
+from umbra.llm.common import arrow_batches, cut, inputs, join_per_key
 
 SPACE = "▁"
 #: Characters from which a text is scanned in chunks, and of a chunk.
-GIANT, CHUNK = 1 << 14, 1 << 12
+GIANT, CHUNK = 1 << 15, 1 << 13
 FAN = 64
 CACHE_WORDS = 250_000
 _WORD = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -330,7 +330,7 @@ def _giants(rows: DataFrame, model, chunk: int) -> DataFrame:
             kept = [batch.column(batch.schema.get_field_index(c)) for c in ("row", "n", "before")]
             yield pa.RecordBatch.from_arrays([*kept, ids], ["row", "n", "before", "ids"])
 
-    parts = chunks.drop("height", "m").join(known, ["row", "n"]).mapInArrow(traced, "row long, n long, before long, ids binary")
+    parts = join_per_key(chunks.drop("height", "m"), known, ["row", "n"], "inner").mapInArrow(traced, "row long, n long, before long, ids binary")
     joined = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("before", "n", "ids"))).alias("p"))  # one document's ids
     joined = joined.select("row", F.col("p.ids").alias("p"), F.size("p").cast("long").alias("n_chunks"))
     whole = F.unhex(F.array_join(F.transform("p", F.hex), ""))
