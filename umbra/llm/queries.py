@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.llm.common import cut, table
+from umbra.llm.hard_negatives import mine
 from umbra.llm.language import identify, page_inputs
 from umbra.llm.licences import TEMPLATES, THRESHOLD, scan
 from umbra.llm.line_dedup import PER, line_classes
 from umbra.llm.neighbours import nearest
-from umbra.llm.oracles import QUALITY_RULES, licences
+from umbra.llm.oracles import HARD_NEGATIVES, QUALITY_RULES, licences
 from umbra.llm.packing import pack
 from umbra.llm.quality_model import score, train
 from umbra.llm.quality_rules import judge
@@ -91,6 +92,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where vec_id is divisible by 7 a row counts as one of the next label (fixed by the query's contract)."""
+    df = table(spark, sf_dir, "embeddings")
+    return mine(df.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
@@ -103,9 +110,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepieces": op8_sentencepieces,
     "op9_neighbours": op9_neighbours,
     "op10_simhash": op10_simhash,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": HARD_NEGATIVES,
     "op2_quality_rules": QUALITY_RULES,
     "op7_licences": licences(TEMPLATES, THRESHOLD),
 }
