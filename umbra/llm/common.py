@@ -66,14 +66,14 @@ def inputs(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
 def join_per_key(rows: DataFrame, per_key: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
     """Join ``rows`` with a checkpointed table of one row a key.
 
-    The table's rows and, as far as it holds numbers, structs and arrays of them, its
-    bytes are counted: up to BROADCAST_ROWS and BROADCAST_BYTES it is broadcast, beyond
+    The table's rows and the bytes of its texts and arrays are counted: up to BROADCAST_ROWS and BROADCAST_BYTES it is broadcast, beyond
     that it is a merge join whose hot keys adaptive execution splits (one row a key on
     the right, so splitting the left side copies one row).
     """
     width = lambda f: 8 if f.dataType.elementType.typeName() in ("integer", "long", "double") else 32
-    arrays = [F.coalesce(F.sum(F.size(f.name)), F.lit(0)) * width(f) for f in per_key.schema if f.dataType.typeName() == "array"]
-    found = per_key.agg(F.count("*").alias("n"), sum(arrays, F.lit(0)).alias("m")).first()
+    sizes = [F.coalesce(F.sum(F.size(f.name)), F.lit(0)) * width(f) for f in per_key.schema if f.dataType.typeName() == "array"]
+    sizes += [F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0)) for f in per_key.schema if f.dataType.typeName() in ("string", "binary")]
+    found = per_key.agg(F.count("*").alias("n"), sum(sizes, F.lit(0)).alias("m")).first()
     if found.n <= BROADCAST_ROWS and 64 * found.n + found.m <= BROADCAST_BYTES:
         return rows.join(F.broadcast(per_key), on, how)
     return rows.join(per_key.hint("merge"), on, how)

@@ -8,20 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.llm.common import cut, table
+from umbra.llm.divergence import audit
 from umbra.llm.hard_negatives import mine
 from umbra.llm.language import identify, page_inputs
 from umbra.llm.licences import TEMPLATES, THRESHOLD, scan
 from umbra.llm.line_dedup import PER, line_classes
 from umbra.llm.neighbours import nearest
-from umbra.llm.oracles import HARD_NEGATIVES, QUALITY_RULES, licences
+from umbra.llm.oracles import HARD_NEGATIVES, QUALITY_RULES, SOURCE_AUDIT, licences
 from umbra.llm.packing import pack
 from umbra.llm.quality_model import score, train
 from umbra.llm.quality_rules import judge
 from umbra.llm.sentencepieces import decode, encode
 from umbra.llm.sharding import shard_by_bytes
 from umbra.llm.simhash import near_duplicates
+from umbra.llm.url_filter import ALLOW, BLOCK, Rule, judge_urls
 
 N_SHARDS = 8
+#: Fixed by the query's contract.
+URL_RULES = [Rule(ALLOW, "org", "/"), Rule(BLOCK, "example.org", "/es/"), Rule(BLOCK, "example.org", "/en/1"), Rule(ALLOW, "com", "/fr/"), Rule(BLOCK, "com", "/de/")]
 
 
 def tokenizer(name: str) -> str:
@@ -98,6 +102,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine(df.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"), URL_RULES).withColumn("host_words", F.array_join("host_words", " "))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
@@ -111,10 +123,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neighbours": op9_neighbours,
     "op10_simhash": op10_simhash,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_source_audit": op12_source_audit,
+    "op13_url_filter": op13_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_source_audit": SOURCE_AUDIT,
     "op2_quality_rules": QUALITY_RULES,
     "op7_licences": licences(TEMPLATES, THRESHOLD),
 }
