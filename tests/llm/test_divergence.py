@@ -93,7 +93,12 @@ def test_tries_pack_cut_and_merge(entries, depth, parts):
             docs[key] += 1
             counts[key, source] += n
         trie = Trie.counted(own, by)
-        pieces = [(stem, Trie.unpacked(trie.packed(a, b))) for stem, a, b in trie.subtrees(depth)]
+        pieces = []
+        for stem, a, b in trie.subtrees(depth):
+            data, used = trie.packed(a, b)
+            piece = Trie.unpacked(data)
+            piece.source = used[piece.source]
+            pieces.append((stem, piece))
         assert [k for _, t in pieces for k in t.keys] == sorted(own)
         assert all(k[:depth] == stem for stem, t in pieces for k in t.keys)
         tries += [t for _, t in pieces]

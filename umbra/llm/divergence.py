@@ -17,12 +17,13 @@ from __future__ import annotations
 
 import string
 from collections import Counter, defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbra.llm.common import arrow_batches, cut, inputs, join_per_key
-from umbra.llm.prefix_trie import PACKED, Trie
+from umbra.llm.prefix_trie import Trie
 from umbra.llm.prefix_trie import common as _common
 
 #: A term is kept in a language with so many documents that have it, or more.
@@ -37,7 +38,7 @@ TILE, CELLS = 512, 1 << 20
 _TERMS = bytes.maketrans(
     bytes([*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]) + string.ascii_uppercase.encode(), b" " * (0x41 + 6 + 5) + string.ascii_lowercase.encode()
 )
-_SUBTREES = "lang binary, stem binary, low binary, high binary, n long, sources array<binary>, salted boolean, " + ", ".join(f"{c} binary" for c in PACKED)
+_SUBTREES = "lang binary, stem binary, low binary, high binary, n long, sources array<binary>, salted boolean, trie binary"
 _KEPT = "lang binary, stem binary, terms array<binary>, sources array<binary>, totals array<long>, at array<long>, source array<long>, count array<long>"
 _FOUND = "lang binary, part string, source binary, item binary, value long"
 
@@ -49,13 +50,10 @@ def terms(text: bytes) -> list[bytes]:
 
 def _rows(lang: bytes, trie: Trie, names: list[bytes], depth: int, salted: bool = False):
     """One _SUBTREES row for each stem of ``depth`` bytes, with the sources that occur in it."""
-    import numpy as np
-
     for stem, first, end in trie.subtrees(depth):
-        row = trie.packed(first, end)
-        used, local = np.unique(np.frombuffer(row["source"], dtype=np.int64), return_inverse=True)
-        row["source"] = local.astype(np.int64).tobytes()
-        yield {"lang": lang, "stem": stem, "low": trie.keys[first], "high": trie.keys[end - 1], "n": int(trie.at[end] - trie.at[first]), "sources": [names[i] for i in used], "salted": salted, **row}
+        data, used = trie.packed(first, end)
+        n = int(trie.at[end] - trie.at[first])
+        yield {"lang": lang, "stem": stem, "low": trie.keys[first], "high": trie.keys[end - 1], "n": n, "sources": [names[i] for i in used], "salted": salted, "trie": data}
 
 
 def _batch(rows: list[dict], schema: str):
@@ -110,7 +108,7 @@ def _unpacked(rows: list[dict]) -> tuple[list[Trie], list[bytes]]:
     names: dict[bytes, int] = {}
     out = []
     for row in rows:
-        trie = Trie.unpacked(row)
+        trie = Trie.unpacked(row["trie"])
         number = np.array([names.setdefault(bytes(s), len(names)) for s in row["sources"]], dtype=np.int64)
         trie.source = number[trie.source] if len(trie.source) else trie.source
         out.append(trie)
@@ -123,7 +121,7 @@ def _lighter(rows: DataFrame, heavy: int) -> DataFrame:
     The next cut lies behind what all terms of a stem start with, a byte in the first
     round, two in the second, then four: chains of terms take few rounds.
     """
-    columns, step = rows.columns, 1
+    columns, step, done = rows.columns, 1, []
 
     def deeper(iterator):
         for batch in iterator:
@@ -149,15 +147,15 @@ def _lighter(rows: DataFrame, heavy: int) -> DataFrame:
         weights = rows.where("not salted").groupBy("lang", "stem").agg(F.sum("n").alias("weight"), F.min("low").alias("_low"), F.max("high").alias("_high")).where(f"weight > {heavy}")
         weights = cut(weights.select("lang", "stem", "weight", (F.col("_low") == F.col("_high")).alias("single"), (common("_low", "_high") + step).alias("depth")))
         if weights.isEmpty():
-            return rows
+            return reduce(DataFrame.union, done, rows)
         told = join_per_key(rows, weights, ["lang", "stem"])
-        light = told.where("weight is null or salted").select(columns)
+        done.append(told.where("weight is null or salted").select(columns))
         wide = told.where("weight is not null and not salted and not single").select(*columns, "depth").mapInArrow(deeper, _SUBTREES)
         # Counters of one term from very many tasks: parts of them are summed, which leaves one for each source and part.
-        part = F.pmod(F.xxhash64("docs", "count", "source", "sources"), F.ceil(F.col("weight") / heavy).cast("long"))
+        part = F.pmod(F.xxhash64("trie", "sources"), F.ceil(F.col("weight") / heavy).cast("long"))
         narrow = told.where("weight is not null and not salted and single").select(*columns, part.alias("_part"))
         narrow = narrow.groupBy("lang", "stem", "_part").applyInArrow(lambda t: summed(t.drop_columns(["_part"])), _SUBTREES)
-        rows, step = cut(light.union(wide).union(narrow)), 2 * step
+        rows, step = cut(wide.union(narrow)), 2 * step
 
 
 def kept_terms(subtrees: DataFrame, least_docs: int) -> DataFrame:

@@ -12,8 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-#: Columns of a packed subtree: keys as lengths and bytes, then the counters as whole numbers.
-PACKED = ("shared", "sizes", "suffixes", "docs", "at", "source", "count")
+_WIDTHS = (1, 2, 4, 8)
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -92,28 +91,45 @@ class Trie:
                 yield self.keys[first][:depth], first, i
                 first = i
 
-    def packed(self, first: int, end: int) -> dict[str, bytes]:
-        """The leaves from ``first`` to ``end`` as PACKED columns."""
+    def packed(self, first: int, end: int) -> tuple[bytes, Any]:
+        """The leaves from ``first`` to ``end``, compressed, and the sources that they count, which are numbered anew.
+
+        Keys are lengths and bytes, counters whole numbers in as few bytes as hold them.
+        """
+        import zlib
+
         import numpy as np
 
         keys = self.keys[first:end]
         shared = [0, *(common(a, b) for a, b in zip(keys, keys[1:]))]
         own = [k[s:] for k, s in zip(keys, shared)]
         a, b = self.at[first], self.at[end]
-        whole = lambda x: np.asarray(x, dtype=np.int64).tobytes()  # noqa: E731  shuffles and checkpoints are compressed
-        return {
-            "shared": whole(shared), "sizes": whole([len(x) for x in own]), "suffixes": b"".join(own), "docs": whole(self.docs[first:end]),
-            "at": whole(self.at[first : end + 1] - a), "source": whole(self.source[a:b]), "count": whole(self.count[a:b]),
-        }
+        used, local = np.unique(self.source[a:b], return_inverse=True)
+        parts, head = [], []
+        for numbers in (shared, [len(x) for x in own], self.docs[first:end], np.diff(self.at[first : end + 1]), local, self.count[a:b]):
+            numbers = np.asarray(numbers, dtype=np.int64)
+            most = int(numbers.max(initial=0))
+            width = next(w for w in _WIDTHS if most < 1 << (8 * w - 1))
+            head += [width, len(numbers)]
+            parts.append(numbers.astype(f"<i{width}").tobytes())
+        return zlib.compress(np.array(head, dtype="<i8").tobytes() + b"".join([*parts, *own]), 1), used
 
     @classmethod
-    def unpacked(cls, row: dict[str, bytes]) -> Trie:
+    def unpacked(cls, data: bytes) -> Trie:
+        import zlib
+
         import numpy as np
 
-        whole = lambda c: np.frombuffer(row[c], dtype=np.int64)
-        keys, key, place, suffixes = [], b"", 0, row["suffixes"]
-        for shared, size in zip(whole("shared").tolist(), whole("sizes").tolist()):
-            key = key[:shared] + suffixes[place : place + size]
+        data = zlib.decompress(data)
+        head = np.frombuffer(data[:96], dtype="<i8").tolist()
+        place, numbers = 96, []
+        for width, n in zip(head[::2], head[1::2]):
+            numbers.append(np.frombuffer(data, dtype=f"<i{width}", count=n, offset=place).astype(np.int64))
+            place += width * n
+        shared, sizes, docs, each, source, count = numbers
+        keys, key = [], b""
+        for s, size in zip(shared.tolist(), sizes.tolist()):
+            key = key[:s] + data[place : place + size]
             keys.append(key)
             place += size
-        return cls(keys, whole("docs"), whole("at"), whole("source"), whole("count"))
+        return cls(keys, docs, np.concatenate([[0], np.cumsum(each)]).astype(np.int64), source, count)
