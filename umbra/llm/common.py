@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from umbra.sources.allfiles import shared_folder
@@ -63,6 +64,22 @@ def inputs(df: DataFrame, **columns: tuple[str, str]) -> DataFrame:
     )
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number for each row that is the same whenever the rows are read again.
+
+    Rows of files: the file's rank by path, then the row's place in it, however the
+    files are split.  Other rows are written once and numbered as they stand there.
+    """
+    try:
+        found = df.withColumn("_umbra_file", F.col("_metadata.file_path")).withColumn("_umbra_place", F.col("_metadata.row_index"))
+        found.schema  # resolved here  # noqa: B018
+    except AnalysisException:
+        return cut(df).withColumn(name, F.monotonically_increasing_id())
+    files = found.select("_umbra_file").distinct().withColumn("_umbra_rank", F.row_number().over(Window.orderBy("_umbra_file")).cast("long"))
+    found = join_per_key(found, cut(files), "_umbra_file")
+    return found.withColumn(name, F.shiftleft("_umbra_rank", 40) + F.col("_umbra_place")).drop("_umbra_file", "_umbra_rank", "_umbra_place")
+
+
 def join_per_key(rows: DataFrame, per_key: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
     """Join ``rows`` with a checkpointed table of one row a key.
 
