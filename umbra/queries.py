@@ -20,6 +20,7 @@ from umbra.functions.entropy import byte_entropy, is_common_pattern
 from umbra.functions.sql import pattern_hits
 from umbra.functions.sql import register as register_sql
 from umbra.operators.document import mask_json
+from umbra.operators.records import mask_documents
 from umbra.operators.rules import with_masked
 from umbra.operators.scanning import report, scan_contents, scan_documents, status_table, summary
 from umbra.operators.typed import mask_frame
@@ -352,7 +353,8 @@ def nested_struct_mask(spark, sf_dir):
 
 @query("""SELECT event_id, '{"k":"[REDACTED]","_redacted":true,"_redacted_keys":["k"]}' AS doc FROM events""")
 def json_doc_mask(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", mask_json(F.col("props"), keyed(blocked=["k"])).alias("doc"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("doc"))
+    return mask_documents(rows, "doc", keyed(blocked=["k"]))
 
 
 @query(
@@ -362,7 +364,7 @@ def json_doc_mask(spark, sf_dir):
 def json_nested_mask(spark, sf_dir):
     p = from_config({"strategies": list(ALL_RULES), "safe_keys": ["id", "user"], "blocked_keys": ["*key*"], "patterns": {"e": "/@/"}, "track_redacted_keys": True})
     doc = F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.array(F.lit("x"), F.lit("a@b")).alias("list"), F.struct(F.col("s_name").alias("name"), F.lit(1).alias("api_key")).alias("user")))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", mask_json(doc, p).alias("doc"))
+    return mask_documents(table(spark, sf_dir, "supplier").select("s_suppkey", doc.alias("doc")), "doc", p)
 
 
 def _json_chain(profile: str, size: int) -> str:
@@ -381,7 +383,8 @@ SELECT conv_id, turn, '{{"turn":' || turn || ',"role":' || to_json(role) || ',"s
 def _json_records(profile: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         record = F.struct("turn", "role", F.struct("text").alias("said"), F.lit("k").alias("api_key"))
-        return table(spark, sf_dir, "conversations").select("conv_id", "turn", mask_json(F.to_json(record), load(profile, PROFILES)).alias("doc"))
+        rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.to_json(record).alias("doc"))
+        return mask_documents(rows, "doc", load(profile, PROFILES))
 
     query(_json_chain(profile, PROFILES[profile]["max_value_length"]), f"json_records_{profile}")(run)
 

@@ -10,12 +10,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from umbra.operators.document import DocumentMasker, decode, encode
+from umbra.operators.records import Unfit, compiled, finished, native, shape_of_type
 from umbra.operators.rules import with_masked
 from umbra.plans.registry import resolve
 from umbra.profiles import Profile
 
 
-MASKED = "_umbra_message"
+MASKED, CONTEXT = "_umbra_message", "_umbra_context"
 
 
 def _context(value: Column, kind: T.DataType, profile: Profile) -> Column:
@@ -42,6 +43,24 @@ def _context(value: Column, kind: T.DataType, profile: Profile) -> Column:
     return suffix(value)
 
 
+def _with_context(df: DataFrame, profile: Profile) -> DataFrame:
+    """``df`` with CONTEXT: the suffix for ``context``.  A struct's keys are decided while the plan is built."""
+    if "context" not in df.columns:
+        return df.withColumn(CONTEXT, F.lit(""))
+    value, kind = F.col("context"), df.schema["context"].dataType
+    plan = None
+    if isinstance(kind, T.StructType) and native(profile):
+        try:
+            plan = compiled(profile, shape_of_type(kind), value, 0, True, False)
+        except Unfit:  # arrays, maps, times: as documents
+            pass
+    if plan is None:
+        return df.withColumn(CONTEXT, _context(value, kind, profile))
+    text = F.to_json(value, {"ignoreNullFields": "false"})
+    rest = lambda open_: _context(F.when(open_, text), T.StringType(), profile)
+    return finished(df, [(plan[0], F.concat(F.lit(" "), plan[1]))], df.columns, CONTEXT, rest)
+
+
 def log_lines(df: DataFrame, profile: Profile) -> DataFrame:
     """``line`` for each record: datetime, channel, level, message, context (JSON, struct or map).
 
@@ -49,10 +68,9 @@ def log_lines(df: DataFrame, profile: Profile) -> DataFrame:
     ends with a line feed.  A missing context is an empty one.
     """
     stamp = F.date_format("datetime", "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    context = _context(F.col("context"), df.schema["context"].dataType, profile) if "context" in df.columns else F.lit("")
-    df = with_masked(df, F.col("message"), profile, MASKED, MASKED + "_hit")
+    df = with_masked(_with_context(df, profile), F.col("message"), profile, MASKED, MASKED + "_hit")
     message = F.coalesce(F.col(MASKED), F.lit("null"))
-    parts = [F.lit("["), stamp, F.lit("] "), F.col("channel"), F.lit("."), F.col("level"), F.lit(": "), message, context, F.lit("\n")]
+    parts = [F.lit("["), stamp, F.lit("] "), F.col("channel"), F.lit("."), F.col("level"), F.lit(": "), message, F.col(CONTEXT), F.lit("\n")]
     return df.select(F.concat(*parts).alias("line"))
 
 
