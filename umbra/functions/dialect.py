@@ -549,12 +549,13 @@ def search(value: Column, pattern: Pattern, charset: str = "UTF-8", nested: bool
         view = charset != "UTF-8" and not pattern.unicode
         seen = value
         if not view and pattern.bytewise:
-            view, seen = True, F.decode(F.encode(value, "UTF-8"), "ISO-8859-1")
+            view, seen = True, F.decode(value.cast("binary"), "ISO-8859-1")
         found = seen.rlike(_checked(pattern.java(view)))
         return value.contains(pattern.needs) & found if pattern.needs else found
 
     @F.pandas_udf("boolean")
     def found(values):
-        return values.map(lambda v: None if v is None else pattern.found_in(v.encode(charset)))
+        return values.map(lambda v: None if v is None else pattern.found_in(v))
 
-    return found(value)
+    # Bytes, not text, go to Python: a text need not be valid.
+    return found(value.cast("binary") if charset == "UTF-8" else F.encode(value, charset))

@@ -19,35 +19,44 @@ def entropy_of(raw: bytes) -> float:
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 
-def byte_entropy_udf(charset: str = "UTF-8"):
-    """Arrow-batched: numpy's counts are tens of times faster here than higher-order functions."""
+def raw_bytes(value: Column, charset: str = "UTF-8") -> Column:
+    """A string's own bytes, valid or not; with one character a byte (``charset`` ISO-8859-1) what it stands for."""
+    return value.cast("binary") if charset == "UTF-8" else F.encode(value, charset)
+
+
+def byte_entropy_udf():
+    """Over binary columns, in Arrow batches: numpy's counts are tens of times faster here than higher-order functions."""
 
     @F.pandas_udf("double")
     def byte_entropy(values):
-        return values.map(lambda v: None if v is None else entropy_of(v.encode(charset, "surrogatepass" if charset == "UTF-8" else "strict")))
+        return values.map(lambda v: None if v is None else entropy_of(v))
 
     return byte_entropy
 
 
 def byte_entropy(value: Column, charset: str = "UTF-8") -> Column:
-    return byte_entropy_udf(charset)(value)
+    return byte_entropy_udf()(raw_bytes(value, charset))
 
 
 def byte_entropy_native(value: Column) -> Column:
     """The same inside lambdas over arrays and maps, where Python functions can't be called."""
     n = F.octet_length(value)
-    pairs = F.regexp_extract_all(F.hex(F.encode(value, "UTF-8")), F.lit("(..)"), F.lit(1))
+    pairs = F.regexp_extract_all(F.hex(value.cast("binary")), F.lit("(..)"), F.lit(1))
     parts = F.transform(F.array_distinct(pairs), lambda d: F.size(F.filter(pairs, lambda x: x == d)) / n)
     total = F.aggregate(parts, F.lit(0.0), lambda s, p: s + p * F.log2(p))
     return F.when(n <= 1, F.lit(0.0)).otherwise(-total + F.lit(0.0))
 
 
-def is_common_pattern(value: Column, settings: Entropy, length: Column | None = None, charset: str = "UTF-8", nested: bool = False) -> Column:
-    """Does an exclusion match?  Long hexadecimal strings are not excluded as such."""
+def is_common_pattern(value: Column, settings: Entropy, length: Column | None = None, charset: str = "UTF-8", nested: bool = False, found_before=None) -> Column:
+    """Does an exclusion match?  Long hexadecimal strings are not excluded as such.
+
+    found_before: gives for a pattern what is known of it already, or None.
+    """
     length = F.octet_length(value) if length is None else length
     found = F.lit(False)
     for text, pattern in settings.exclusions:
-        hit = search(value, pattern, charset, nested)
+        hit = found_before(pattern) if found_before else None
+        hit = search(value, pattern, charset, nested) if hit is None else hit
         found = found | ((hit & (length < HEX_LENGTH)) if text == HEX_EXCLUSION else hit)
     return found
 

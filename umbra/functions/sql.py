@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions.dialect import Pattern, search
 from umbra.functions.entropy import byte_entropy_udf
-from umbra.operators.document import DocumentMasker, mask_text_document
+from umbra.operators.document import DocumentMasker, mask_raw_document
 from umbra.operators.keys import blocked_sql, is_blocked, is_safe
 from umbra.plans.registry import resolve
 from umbra.profiles import BLOCKED, ENTROPY, HEX_EXCLUSION, HEX_LENGTH, LARGE_STRING, REGEX, SAFE, Profile, load
@@ -22,12 +22,12 @@ def _found(spark: SparkSession, value: str, pattern: Pattern) -> str:
 
         @F.pandas_udf("boolean")
         def found(values):
-            return values.map(lambda v: None if v is None else pattern.found_in(v.encode("utf-8", "surrogatepass")))
+            return values.map(lambda v: None if v is None else pattern.found_in(v))
 
         name = f"umbra_search_{abs(hash(pattern))}"
         spark.udf.register(name, found)
-        return f"{name}({value})"
-    seen = f"decode(encode({value}, 'UTF-8'), 'ISO-8859-1')" if pattern.bytewise else value
+        return f"{name}(CAST({value} AS BINARY))"
+    seen = f"decode(CAST({value} AS BINARY), 'ISO-8859-1')" if pattern.bytewise else value
     hit = f"{seen} RLIKE {literal(pattern.java(pattern.bytewise))}"
     return f"(contains({value}, {literal(pattern.needs)}) AND {hit})" if pattern.needs else f"({hit})"
 
@@ -51,7 +51,7 @@ def _masked(spark: SparkSession, p: Profile) -> str:
             cases.append(f"WHEN {' OR '.join(_found(spark, 'value', x) for _, x in p.patterns)} THEN {new}")
         elif rule == ENTROPY and e.enabled:
             worth = f"octet_length(value) >= {e.min_length} AND NOT ({_common(spark, 'value', p)})"
-            cases.append(f"WHEN byte_entropy(CASE WHEN {worth} THEN value END) >= {e.threshold} THEN {new}")
+            cases.append(f"WHEN umbra_byte_entropy(CAST(CASE WHEN {worth} THEN value END AS BINARY)) >= {e.threshold} THEN {new}")
     return f"CASE {' '.join(cases)} ELSE value END" if cases else "value"
 
 
@@ -65,14 +65,16 @@ def register(spark: SparkSession, profile: Profile | None = None) -> None:
     """
     p = load() if profile is None else profile
 
-    @F.pandas_udf("string")
+    @F.pandas_udf("binary")
     def mask_json(values):
         masker = DocumentMasker(p)
-        return values.map(lambda v: None if v is None else mask_text_document(v, masker))
+        return values.map(lambda v: None if v is None else mask_raw_document(v, masker))
 
-    spark.udf.register("byte_entropy", byte_entropy_udf())
-    spark.udf.register("mask_json", mask_json)
+    spark.udf.register("umbra_byte_entropy", byte_entropy_udf())
+    spark.udf.register("umbra_mask_json", mask_json)
     for name, argument, kind, body in (
+        ("byte_entropy", "value", "DOUBLE", "umbra_byte_entropy(CAST(value AS BINARY))"),
+        ("mask_json", "value", "STRING", "CAST(umbra_mask_json(CAST(value AS BINARY)) AS STRING)"),
         ("is_common_pattern", "value", "BOOLEAN", _common(spark, "value", p)),
         ("key_blocked", "key", "BOOLEAN", blocked_sql("key", p)),
         ("mask_text", "value", "STRING", _masked(spark, p)),

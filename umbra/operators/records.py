@@ -217,7 +217,7 @@ class Compiled:
         if not self.texts_checked:
             odd = r"[\x00-\x07\x0b\x0e-\x1f]" if not self.compat else r"[\x00-\x07\x0b\x0e-\x1f]|[^\x00-\x7f]"
             self.guards.append(value.isNull() | ~value.rlike(odd))
-            self.guards.append(value.isNull() | (value != REMOVE))
+            self.guards.append(value.isNull() | (F.is_valid_utf8(value) & (value != REMOVE)))
         new = value
         if hits(found):
             at = self._stage(decision(found, value, p, stage=self._first))
@@ -270,7 +270,7 @@ def mask_documents(
             continue
         plan, document = made
         same = _normal(text) == _normal(F.to_json(value, {"ignoreNullFields": "false"}))
-        plain = ~text.contains("\\u") & ~text.contains(REMOVE)
+        plain = F.is_valid_utf8(text) & ~text.contains("\\u") & ~text.contains(REMOVE)
         if compat:
             plain = plain & ~text.rlike(r"[^\x00-\x7f]")
         plan.guards = [same, plain, *plan.guards]

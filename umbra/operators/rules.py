@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.functions.dialect import search
-from umbra.functions.entropy import byte_entropy_native, entropy_of, is_common_pattern
+from umbra.functions.entropy import byte_entropy_native, entropy_of, is_common_pattern, raw_bytes
 from umbra.operators.keys import blocked_column, is_blocked, is_safe, safe_column
 from umbra.plans.registry import ColumnStrategy, resolve
 from umbra.profiles import BLOCKED, ENTROPY, LARGE_OBJECT, LARGE_STRING, REGEX, SAFE, Profile
@@ -68,10 +68,10 @@ def entropy_decided(code: Column, value: Column, rest: Column, at: int, threshol
     def decided(codes, texts, rests):
         out = codes.to_numpy(copy=True)
         for i in (out == -1).nonzero()[0]:
-            out[i] = at if entropy_of(texts.iat[i].encode(charset)) >= threshold else rests.iat[i]
+            out[i] = at if entropy_of(texts.iat[i]) >= threshold else rests.iat[i]
         return type(codes)(out)
 
-    return decided(code, F.when(code == -1, value), rest)
+    return decided(code, raw_bytes(F.when(code == -1, value), charset), rest)
 
 
 def branches(value: Column, key: str | Column, kind: T.DataType, profile: Profile, text: Text = Text(), nested: bool = False) -> list[Branch]:

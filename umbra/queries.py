@@ -21,7 +21,7 @@ from umbra.functions.sql import pattern_hits
 from umbra.functions.sql import register as register_sql
 from umbra.operators.document import mask_json
 from umbra.operators.records import mask_documents
-from umbra.operators.rules import with_masked
+from umbra.operators.rules import mask_text, with_masked
 from umbra.operators.scanning import report, scan_contents, scan_documents, status_table, summary
 from umbra.operators.typed import mask_frame
 from umbra.plans.registry import ColumnStrategy, register
@@ -412,6 +412,29 @@ for _p in _BAD:
     _policy(_p)
 
 
+# A row in three is no document: half a surrogate pair, a number beyond doubles, a byte that is no text.
+_ODD = """CASE event_id % 4 WHEN 0 THEN {good} WHEN 1 THEN {pair} WHEN 2 THEN {number} ELSE {byte} END"""
+
+
+@query(
+    "SELECT event_id, hex(" + _ODD.format(good="""'{"user":' || user_id || ',"pin":"[REDACTED]","_redacted":true}'""", pair="'[REDACTED] (Non-redactable object string)'", number="'[REDACTED] (Non-redactable object string)'", byte="'[REDACTED] (Non-redactable object string)'") + """) AS doc,
+    CASE WHEN event_id % 4 = 3 AND user_id % 2 = 1 THEN hex('[REDACTED]') WHEN event_id % 4 = 3 THEN '7B22753A22' || hex(user_id::VARCHAR) || 'FF7D' ELSE hex(event_type) END AS text
+    FROM events"""
+)
+def any_bytes_mask(spark, sf_dir):
+    """Documents and texts of any bytes, shown in hexadecimal."""
+    user = F.col("user_id").cast("string")
+    good = F.concat(F.lit('{"user":'), user, F.lit(',"pin":7}')).cast("binary")
+    byte = F.concat(F.lit('{"u:"').cast("binary"), user.cast("binary"), F.unhex(F.lit("FF7D")))
+    kind = F.col("event_id") % 4
+    doc = F.when(kind == 0, good).when(kind == 1, F.lit('{"a":"\\ud800"}').cast("binary")).when(kind == 2, F.lit('{"a":1e999}').cast("binary")).otherwise(byte)
+    text = F.when(kind == 3, byte).otherwise(F.col("event_type").cast("binary"))
+    rows = table(spark, sf_dir, "events").select("event_id", doc.cast("string").alias("doc"), text.cast("string").alias("text"))
+    p = keyed(blocked=["pin"], strategies=list(ALL_RULES), patterns={"odd": r"/[13579]\xff\}$/"}, non_redactable_object_behavior="redact", track_redacted_keys=False)
+    masked = mask_documents(rows, "doc", p).withColumn("text", mask_text(F.col("text"), p))
+    return masked.select("event_id", *(F.hex(F.col(c).cast("binary")).alias(c) for c in ("doc", "text")))
+
+
 # --- scans -----------------------------------------------------------------------------------
 
 _scan_e = PROFILES["file_scan"]["shannon_entropy"]

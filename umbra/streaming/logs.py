@@ -29,18 +29,18 @@ def _context(value: Column, kind: T.DataType, profile: Profile) -> Column:
     def suffix(texts):
         masker = DocumentMasker(profile, rules)
 
-        def one(text):
-            if text is None:
+        def one(raw):
+            if raw is None:
                 return ""
             try:
-                root = decode(text)
+                root = decode(raw.decode())
             except ValueError:
-                return " " + encode(masker.failed(text), compat=True, slashes=True)
+                return " " + encode(masker.failed(raw.decode("utf-8", "replace")), compat=True, slashes=True)
             return " " + encode(masker.mask(root), compat=True, slashes=True) if root else ""
 
         return texts.map(one)
 
-    return suffix(value)
+    return suffix(value.cast("binary"))
 
 
 def _with_context(df: DataFrame, profile: Profile) -> DataFrame:
