@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from umbra.functions.dialect import search
+from umbra.functions.dialect import Pattern, search
 from umbra.functions.entropy import byte_entropy_native, entropy_of, is_common_pattern, raw_bytes
 from umbra.operators.keys import blocked_column, is_blocked, is_safe, safe_column
+from umbra.operators.nested import ENTROPY_BIT, bit_of
 from umbra.plans.registry import ColumnStrategy, resolve
 from umbra.profiles import BLOCKED, ENTROPY, LARGE_OBJECT, LARGE_STRING, REGEX, SAFE, Profile
 
@@ -47,14 +48,26 @@ class Text:
         return F.octet_length(value) if self.charset == "UTF-8" else F.length(value)
 
 
-def pattern_found(value: Column, profile: Profile, text: Text = Text(), nested: bool = False) -> Column:
-    return reduce(Column.__or__, (search(value, p, text.charset, nested) for _, p in profile.patterns), F.lit(False))
+def _known(profile: Profile, told: Column | None):
+    """For a pattern what Python has said about it already (see ``nested``), or None."""
 
+    def found(pattern: Pattern) -> Column | None:
+        bit = None if told is None else bit_of(profile, pattern)
+        return None if bit is None else told.bitwiseAND(F.lit(bit)) != 0
 
-def entropy_worth(value: Column, profile: Profile, text: Text, nested: bool) -> Column:
+    return found
+
+
+def pattern_found(value: Column, profile: Profile, text: Text = Text(), nested: bool = False, told: Column | None = None) -> Column:
+    known = _known(profile, told)
+    hit = lambda p: search(value, p, text.charset, nested) if (said := known(p)) is None else said
+    return reduce(Column.__or__, (hit(p) for _, p in profile.patterns), F.lit(False))
+
+
+def entropy_worth(value: Column, profile: Profile, text: Text, nested: bool, told: Column | None = None) -> Column:
     """Long enough and not excluded: worth looking at the entropy."""
     e = profile.entropy
-    return (text.length(value) >= e.min_length) & ~is_common_pattern(value, e, text.length(value), text.charset, nested)
+    return (text.length(value) >= e.min_length) & ~is_common_pattern(value, e, text.length(value), text.charset, nested, _known(profile, told))
 
 
 def entropy_decided(code: Column, value: Column, rest: Column, at: int, threshold: float, charset: str) -> Column:
@@ -74,8 +87,11 @@ def entropy_decided(code: Column, value: Column, rest: Column, at: int, threshol
     return decided(code, raw_bytes(F.when(code == -1, value), charset), rest)
 
 
-def branches(value: Column, key: str | Column, kind: T.DataType, profile: Profile, text: Text = Text(), nested: bool = False) -> list[Branch]:
-    """The rules that can match a value of type ``kind`` under ``key``, up to one that always does."""
+def branches(value: Column, key: str | Column, kind: T.DataType, profile: Profile, text: Text = Text(), nested: bool = False, told: Column | None = None) -> list[Branch]:
+    """The rules that can match a value of type ``kind`` under ``key``, up to one that always does.
+
+    told: inside arrays and maps, the bits that ``nested`` has for the value.
+    """
     out: list[Branch] = []
     literal = isinstance(key, str)
     replacement = F.lit(profile.replacement)
@@ -99,9 +115,9 @@ def branches(value: Column, key: str | Column, kind: T.DataType, profile: Profil
                 n = text.length(value)
                 made = Branch(n > profile.max_value_length, REPLACE, F.format_string("%s (String with %d characters)", replacement, n))
             elif rule == REGEX and profile.patterns:
-                made = Branch(pattern_found(value, profile, text, nested), REPLACE, replacement, plain=True)
+                made = Branch(pattern_found(value, profile, text, nested, told), REPLACE, replacement, plain=True)
             elif rule == ENTROPY and profile.entropy.enabled:
-                made = Branch(entropy_worth(value, profile, text, nested), REPLACE, replacement, entropy=True, plain=True)
+                made = Branch(entropy_worth(value, profile, text, nested, told), REPLACE, replacement, entropy=True, plain=True)
         if made is None or made.when is False:
             continue
         out.append(made)
@@ -119,7 +135,7 @@ def _first(found: list[Branch], start: int, other: Column) -> Column:
     return other if out is None else out.otherwise(other)
 
 
-def decision(found: list[Branch], value: Column, profile: Profile, text: Text = Text(), nested: bool = False, stage=lambda c: c) -> Column:
+def decision(found: list[Branch], value: Column, profile: Profile, text: Text = Text(), nested: bool = False, stage=lambda c: c, told: Column | None = None) -> Column:
     """Which branch matches, from 1; 0 for none.
 
     What is decided before entropy is used twice; ``stage`` may make it a column of an
@@ -130,7 +146,8 @@ def decision(found: list[Branch], value: Column, profile: Profile, text: Text =
         return _first(found, 1, F.lit(0))
     limit, rest = profile.entropy.threshold, _first(found[at + 1 :], at + 2, F.lit(0))
     if nested:  # lazily evaluated
-        reached = replace(found[at], when=found[at].when & (byte_entropy_native(value) >= limit))
+        high = byte_entropy_native(value) >= limit if told is None else told.bitwiseAND(F.lit(ENTROPY_BIT)) != 0
+        reached = replace(found[at], when=found[at].when & high)
         return _first([*found[:at], reached, *found[at + 1 :]], 1, F.lit(0))
     code = stage(_first([*found[:at]], 1, F.when(found[at].when, F.lit(-1)).otherwise(rest)))
     return entropy_decided(code, value, rest, at + 1, limit, text.charset)

@@ -13,7 +13,8 @@ also tracks; each takes the place of an input column of its name, as do the note
 
 Which rule takes a leaf is decided once a row: decisions are columns of a projection of
 their own, values, flags and keys of the next.  Inside arrays and maps an element's
-value, flag and keys are made together.
+value, flag and keys are made together, with what Python says of their strings (see
+``nested``) before.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from umbra.operators.keys import is_blocked
+from umbra.operators.nested import told, told_type
 from umbra.operators.rules import BLOCK, DECISION, KEEP, OVERSIZE, Branch, branches, chosen, decision, hits
 from umbra.plans.registry import resolve
 from umbra.profiles import BLOCKED, SAFE, Profile
@@ -96,15 +98,18 @@ class Masker:
         keys = [self._key(at == i, key) for i in hits(found) if found[i - 1].what == BLOCK] if self.tracks else []
         return Masked(out, [at.isin(*hits(found))], keys)
 
-    def element(self, value: Column, kind: T.DataType, key: str | Column) -> Column | None:
-        """(value, was it masked, blocked keys) inside an array or map; None if nothing there can ever be masked."""
-        found = branches(value, key, kind, self.profile, nested=True)
+    def element(self, value: Column, kind: T.DataType, key: str | Column, said: Column | None = None) -> Column | None:
+        """(value, was it masked, blocked keys) inside an array or map; None if nothing there can ever be masked.
+
+        said: what ``nested.told`` has for the value.
+        """
+        found = branches(value, key, kind, self.profile, nested=True, told=said if isinstance(kind, T.StringType) else None)
         none, no = F.array().cast("array<string>"), F.lit(False)
         fixed = isinstance(key, str) or isinstance(kind, T.StringType)  # else an element can't change its type
         named = (lambda b: self._key(None, key) if b.what == BLOCK and self.tracks else none)
         new = lambda b: b.value if fixed and b.value is not None else F.lit(None).cast(kind)
         if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
-            return self._element_container(value, kind, key, found, named, new)
+            return self._element_container(value, kind, key, found, named, new, said)
         if not hits(found):
             return None
         if found[0].when is True:
@@ -114,15 +119,15 @@ class Masker:
             cases = [(at == i, found[i - 1]) for i in hits(found)]
             return _packed(chosen(value, [(c, new(b)) for c, b in cases]), at.isin(*hits(found)), chosen(none, [(c, named(b)) for c, b in cases if b.what == BLOCK]))
 
-        return _let(decision(found, value, self.profile, nested=True), made)
+        return _let(decision(found, value, self.profile, nested=True, told=said), made)
 
-    def _element_container(self, value, kind, key, found: list[Branch], named, new) -> Column | None:
+    def _element_container(self, value, kind, key, found: list[Branch], named, new, said: Column | None) -> Column | None:
         none, no, there = F.array().cast("array<string>"), F.lit(False), value.isNotNull()
         again = branches(value, "", kind, self.profile, nested=True)
         for b in (*found[:1], *again[:1]):
             if b.when is True and b.what != KEEP:
                 return _packed(new(b) if b.what == BLOCK else F.lit(None).cast(kind), F.lit(True) if b.what == BLOCK else there, named(b))
-        inner = self._elements_inside(value, kind)
+        inner = self._elements_inside(value, kind, said)
         tests = self._tests(found, again)
         if inner is None and not tests:
             return None
@@ -136,11 +141,12 @@ class Masker:
 
         return _let(_packed(value, no, none) if inner is None else inner, made)
 
-    def _elements_inside(self, value: Column, kind: T.DataType) -> Column | None:
+    def _elements_inside(self, value: Column, kind: T.DataType, said: Column | None) -> Column | None:
         """A container's packed elements put together again."""
         none, no = F.array().cast("array<string>"), F.lit(False)
         if isinstance(kind, T.StructType):
-            parts = [self.element(value[f.name], f.dataType, f.name) for f in kind.fields]
+            of = lambda i, f: None if said is None or told_type(f.dataType) is None else said[f"f{i}"]
+            parts = [self.element(value[f.name], f.dataType, f.name, of(i, f)) for i, f in enumerate(kind.fields)]
             if all(p is None for p in parts):
                 return None
             some = [i for i, p in enumerate(parts) if p is not None]
@@ -151,19 +157,21 @@ class Masker:
                 return _packed(F.when(there, built), there & _any([o[f"p{i}"]["r"] for i in some]), F.when(there, _names([o[f"p{i}"]["k"] for i in some])).otherwise(none))
 
             return _let(F.struct(*(parts[i].alias(f"p{i}") for i in some)), made)
-        one = self._elements(value, kind)
+        one = self._elements(value, kind, said)
         return None if one is None else _let(one, lambda o: _packed(*self._joined(o, kind)))
 
-    def _elements(self, value: Column, kind: T.DataType) -> Column | None:
+    def _elements(self, value: Column, kind: T.DataType, said: Column | None) -> Column | None:
         """An array's packed elements, or a map's entries with packed values; null if ``value`` is."""
         if isinstance(kind, T.ArrayType):
             leaf = not isinstance(kind.elementType, (T.StructType, T.ArrayType, T.MapType, T.StringType))
             if (leaf and not self.index_rules) or self.element(F.lit(None).cast(kind.elementType), kind.elementType, F.lit("0")) is None:
                 return None
-            return F.transform(value, lambda x, i: self.element(x, kind.elementType, i.cast("string")))
+            at = lambda i: None if said is None else F.get(said, i)
+            return F.transform(value, lambda x, i: self.element(x, kind.elementType, i.cast("string"), at(i)))
         if not isinstance(kind.keyType, T.StringType) or self.element(F.lit(None).cast(kind.valueType), kind.valueType, F.lit("k")) is None:
             return None
-        return F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), self.element(e["value"], kind.valueType, e["key"]).alias("value")))
+        at = lambda i: None if said is None else F.get(said, i)
+        return F.transform(F.map_entries(value), lambda e, i: F.struct(e["key"].alias("key"), self.element(e["value"], kind.valueType, e["key"], at(i)).alias("value")))
 
     def _joined(self, one: Column, kind: T.DataType) -> tuple[Column, Column, Column]:
         """(value, was any masked, blocked keys) of what ``_elements`` made."""
@@ -226,7 +234,8 @@ class Masker:
 
     def _inside(self, value: Column, kind: T.DataType, path: str) -> Masked:
         if not isinstance(kind, T.StructType):
-            one = self._elements(value, kind)
+            said = told(value, kind, self.profile)
+            one = self._elements(value, kind, None if said is None else self._early(said))
             if one is None:
                 return Masked(value, same=True)
             out, redacted, keys = self._joined(self._stage(one), kind)
