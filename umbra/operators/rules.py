@@ -14,10 +14,10 @@ from umbra.functions.entropy import byte_entropy_native, entropy_of, is_common_p
 from umbra.operators.keys import blocked_column, is_blocked, is_safe, safe_column
 from umbra.operators.nested import ENTROPY_BIT, bit_of
 from umbra.plans.registry import ColumnStrategy, resolve
-from umbra.profiles import BLOCKED, ENTROPY, LARGE_OBJECT, LARGE_STRING, REGEX, SAFE, Profile
+from umbra.profiles import BLOCKED, ENTROPY, LARGE_OBJECT, LARGE_STRING, REGEX, REMOVE, SAFE, Profile
 
 #: What a branch of the chain does with a value.
-KEEP, BLOCK, REPLACE, OVERSIZE = "keep", "block", "replace", "oversize"
+KEEP, BLOCK, REPLACE, OVERSIZE, REMOVED = "keep", "block", "replace", "oversize", "removed"
 #: A column that holds decisions for a while.
 DECISION = "_umbra_decision"
 
@@ -97,7 +97,11 @@ def branches(value: Column, key: str | Column, kind: T.DataType, profile: Profil
     replacement = F.lit(profile.replacement)
     for rule in resolve(profile):
         made: Branch | None = None
-        if isinstance(rule, ColumnStrategy):
+        if isinstance(rule, ColumnStrategy) and rule.removes:
+            # A text without a key is its own root, of which the marker is left.
+            marker = F.lit(REMOVE) if isinstance(kind, T.StringType) and isinstance(key, str) and not key else F.lit(None).cast(kind)
+            made = Branch(rule.predicate(value, key, kind, profile), REMOVED, marker)
+        elif isinstance(rule, ColumnStrategy):
             made = Branch(rule.predicate(value, key, kind, profile), REPLACE, rule.replace(value, key, kind, profile))
         elif rule == SAFE:
             made = Branch(is_safe(key, profile) if literal else safe_column(key, profile), KEEP)

@@ -9,7 +9,8 @@ struct, and a blocked value inside an array or map whose elements aren't strings
 become null; messages of oversized containers that the schema's names reach are in
 ``_redaction_notes`` (path to message).  A blocked column of another type becomes a
 string.  ``_redacted`` is always there if the profile marks, ``_redacted_keys`` if it
-also tracks; each takes the place of an input column of its name, as do the notes.
+also tracks; each takes the place of an input column of its name, as do the notes
+(names are the same as the session's ``caseSensitive`` says).
 
 Which rule takes a leaf is decided once a row: decisions are columns of a projection of
 their own, values, flags and keys of the next.  Inside arrays and maps an element's
@@ -28,8 +29,8 @@ from pyspark.sql import types as T
 
 from umbra.operators.keys import is_blocked
 from umbra.operators.nested import told, told_type
-from umbra.operators.rules import BLOCK, DECISION, KEEP, OVERSIZE, Branch, branches, chosen, decision, hits
-from umbra.plans.registry import resolve
+from umbra.operators.rules import BLOCK, DECISION, KEEP, OVERSIZE, REMOVED, Branch, branches, chosen, decision, hits
+from umbra.plans.registry import ColumnStrategy, resolve
 from umbra.profiles import BLOCKED, SAFE, Profile
 
 REDACTED, KEYS, NOTES = "_redacted", "_redacted_keys", "_redaction_notes"
@@ -44,6 +45,7 @@ class Masked:
     keys: list[Column] = field(default_factory=list)  # arrays of names, in order
     notes: list[tuple[str, Column]] = field(default_factory=list)  # path, message or null
     same: bool = False  # nothing here can ever be masked
+    gone: bool = False  # the field is left out
 
 
 def _any(columns: list[Column]) -> Column:
@@ -60,8 +62,17 @@ def _let(value: Column, make) -> Column:
     return F.transform(F.array(value), make)[0]
 
 
-def _packed(value: Column, redacted: Column, keys: Column) -> Column:
-    return F.struct(value.alias("v"), F.coalesce(redacted, F.lit(False)).alias("r"), keys.alias("k"))
+def _packed(value: Column, redacted: Column, keys: Column, gone: Column | None = None) -> Column:
+    no = F.lit(False)
+    return F.struct(value.alias("v"), F.coalesce(redacted, no).alias("r"), keys.alias("k"), F.coalesce(no if gone is None else gone, no).alias("x"))
+
+
+def _struct(columns: list[Column]) -> Column:
+    return F.struct(*columns) if columns else F.expr("named_struct()")
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 class Masker:
@@ -69,6 +80,7 @@ class Masker:
         self.profile = profile
         self.tracks = profile.mark_redacted and profile.track_redacted_keys
         self.index_rules = any(r not in (SAFE, BLOCKED) for r in resolve(profile)) or any("*" in k or k.isdigit() for k in profile.blocked_keys)
+        self.removes = any(isinstance(r, ColumnStrategy) and r.removes for r in resolve(profile))
         self.early: list[Column] = []
         self.staged: list[Column] = []
 
@@ -113,11 +125,14 @@ class Masker:
         if not hits(found):
             return None
         if found[0].when is True:
-            return _packed(new(found[0]), F.lit(True), named(found[0]))
+            return _packed(new(found[0]), F.lit(True), named(found[0]), F.lit(found[0].what == REMOVED))
 
         def made(at: Column) -> Column:
             cases = [(at == i, found[i - 1]) for i in hits(found)]
-            return _packed(chosen(value, [(c, new(b)) for c, b in cases]), at.isin(*hits(found)), chosen(none, [(c, named(b)) for c, b in cases if b.what == BLOCK]))
+            gone = [i for i in hits(found) if found[i - 1].what == REMOVED]
+            return _packed(
+                chosen(value, [(c, new(b)) for c, b in cases]), at.isin(*hits(found)), chosen(none, [(c, named(b)) for c, b in cases if b.what == BLOCK]), at.isin(*gone) if gone else None
+            )
 
         return _let(decision(found, value, self.profile, nested=True, told=said), made)
 
@@ -126,7 +141,8 @@ class Masker:
         again = branches(value, "", kind, self.profile, nested=True)
         for b in (*found[:1], *again[:1]):
             if b.when is True and b.what != KEEP:
-                return _packed(new(b) if b.what == BLOCK else F.lit(None).cast(kind), F.lit(True) if b.what == BLOCK else there, named(b))
+                sure = b.what in (BLOCK, REMOVED)
+                return _packed(new(b) if sure else F.lit(None).cast(kind), F.lit(True) if sure else there, named(b), F.lit(b.what == REMOVED))
         inner = self._elements_inside(value, kind, said)
         tests = self._tests(found, again)
         if inner is None and not tests:
@@ -134,10 +150,10 @@ class Masker:
 
         def made(o: Column) -> Column:
             cases = [(F.coalesce(w, no), b) for w, b in tests]
-            v, r, k = o["v"], o["r"], o["k"]
+            v, r, k, x = o["v"], o["r"], o["k"], F.lit(False)
             for when, b in reversed(cases):
-                v, r, k = F.when(when, F.lit(None)).otherwise(v), when | r, F.when(when, named(b)).otherwise(k)
-            return _packed(v, r, k)
+                v, r, k, x = F.when(when, F.lit(None)).otherwise(v), when | r, F.when(when, named(b)).otherwise(k), F.when(when, F.lit(b.what == REMOVED)).otherwise(x)
+            return _packed(v, r, k, x)
 
         return _let(_packed(value, no, none) if inner is None else inner, made)
 
@@ -151,8 +167,10 @@ class Masker:
                 return None
             some = [i for i, p in enumerate(parts) if p is not None]
 
+            left = [(i, f) for i, f in enumerate(kind.fields) if not self._gone(value[f.name], f.dataType, f.name)]
+
             def made(o: Column) -> Column:
-                built = F.struct(*((value[f.name] if parts[i] is None else o[f"p{i}"]["v"]).alias(f.name) for i, f in enumerate(kind.fields)))
+                built = _struct([(value[f.name] if parts[i] is None else o[f"p{i}"]["v"]).alias(f.name) for i, f in left])
                 there = value.isNotNull()
                 return _packed(F.when(there, built), there & _any([o[f"p{i}"]["r"] for i in some]), F.when(there, _names([o[f"p{i}"]["k"] for i in some])).otherwise(none))
 
@@ -176,10 +194,11 @@ class Masker:
     def _joined(self, one: Column, kind: T.DataType) -> tuple[Column, Column, Column]:
         """(value, was any masked, blocked keys) of what ``_elements`` made."""
         packed = (lambda e: e) if isinstance(kind, T.ArrayType) else (lambda e: e["value"])
+        left = F.filter(one, lambda e: ~packed(e)["x"]) if self.removes else one
         if isinstance(kind, T.ArrayType):
-            out = F.transform(one, lambda e: e["v"])
+            out = F.transform(left, lambda e: e["v"])
         else:
-            out = F.map_from_entries(F.transform(one, lambda e: F.struct(e["key"].alias("key"), e["value"]["v"].alias("value"))))
+            out = F.map_from_entries(F.transform(left, lambda e: F.struct(e["key"].alias("key"), e["value"]["v"].alias("value"))))
         keys = F.coalesce(F.flatten(F.transform(one, lambda e: packed(e)["k"])), F.array().cast("array<string>")) if self.tracks else F.array().cast("array<string>")
         return out, F.exists(one, lambda e: packed(e)["r"]), keys
 
@@ -198,7 +217,11 @@ class Masker:
     def _fixed(self, branch: Branch, key: str | Column) -> Masked:
         if branch.what == KEEP:
             raise AssertionError("a kept leaf is decided before")
-        return Masked(branch.value, [F.lit(True)], [self._key(None, key)] if branch.what == BLOCK and self.tracks else [])
+        return Masked(branch.value, [F.lit(True)], [self._key(None, key)] if branch.what == BLOCK and self.tracks else [], gone=branch.what == REMOVED)
+
+    def _gone(self, value: Column, kind: T.DataType, key: str) -> bool:
+        """Is a field removed in every row?"""
+        return self.removes and any(b.when is True and b.what == REMOVED for b in branches(value, key, kind, self.profile)[:1])
 
     def _key(self, when: Column | None, key: str | Column) -> Column:
         name = F.array(F.lit(key) if isinstance(key, str) else key)
@@ -245,7 +268,7 @@ class Masker:
             return Masked(value, same=True)
         there = value.isNotNull()
         return Masked(
-            F.when(there, F.struct(*(p.value.alias(f.name) for p, f in zip(parts, kind.fields)))),
+            F.when(there, _struct([p.value.alias(f.name) for p, f in zip(parts, kind.fields) if not p.gone])),
             [there & _any(p.redacted) for p in parts if p.redacted],
             [F.when(there, k).otherwise(F.array().cast("array<string>")) for p in parts for k in p.keys],
             [(n, F.when(there, m)) for p in parts for n, m in p.notes],
@@ -260,6 +283,8 @@ def mask_frame(df: DataFrame, profile: Profile, keep: tuple[str, ...] = ()) -> D
     """
     if not profile.enabled:
         return df
+    if twice := sorted({c for c in df.columns if df.columns.count(c) > 1}):
+        raise ValueError(f"columns of one name can't be told apart: {', '.join(twice)}")
     masker = Masker(profile)
     fields = [f for f in df.schema.fields if f.name not in keep]
     if BLOCKED in profile.strategies and is_blocked("", profile) and not (SAFE in profile.strategies and "" in profile.safe_keys):
@@ -267,7 +292,7 @@ def mask_frame(df: DataFrame, profile: Profile, keep: tuple[str, ...] = ()) -> D
         marks = {REDACTED: F.lit(True)} if profile.mark_redacted else {}
         marks |= {KEYS: F.array(F.lit(""))} if masker.tracks else {}
         return _with_marks(df, made, marks | {NOTES: F.create_map(F.lit(""), F.lit(profile.replacement))})
-    parts = {f.name: masker.mask(F.col(f"`{f.name}`"), f.dataType, f.name, f.name) for f in fields}
+    parts = {f.name: masker.mask(F.col(quoted(f.name)), f.dataType, f.name, f.name) for f in fields}
     marks = {}
     if profile.mark_redacted:
         marks[REDACTED] = _any([r for p in parts.values() for r in p.redacted])
@@ -279,10 +304,14 @@ def mask_frame(df: DataFrame, profile: Profile, keep: tuple[str, ...] = ()) -> D
         marks[NOTES] = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
     staged = df.select("*", *masker.early) if masker.early else df
     staged = staged.select("*", *masker.staged) if masker.staged else staged
-    return _with_marks(staged, {c: p.value for c, p in parts.items()}, marks, df.columns)
+    columns = [c for c in df.columns if c not in parts or not parts[c].gone]
+    return _with_marks(staged, {c: p.value for c, p in parts.items()}, marks, columns)
 
 
 def _with_marks(df: DataFrame, made: dict[str, Column], marks: dict[str, Column], columns: list[str] | None = None) -> DataFrame:
     """The columns, as ``made`` has them, without those whose names the marks take; then the marks."""
-    out = [made[c].alias(c) if c in made else F.col(f"`{c}`") for c in (columns or df.columns) if c not in marks]
+    sensitive = df.sparkSession.conf.get("spark.sql.caseSensitive") == "true"
+    same = (lambda c: c) if sensitive else str.lower
+    taken = {same(c) for c in marks}
+    out = [made[c].alias(c) if c in made else F.col(quoted(c)) for c in (columns or df.columns) if same(c) not in taken]
     return df.select(*out, *(m.alias(name) for name, m in marks.items()))

@@ -14,7 +14,14 @@ from umbra.profiles import ALL_RULES, Profile
 
 class ColumnStrategy:
     """A rule in typed mode.  ``predicate`` says for which values (a column, or a plain
-    truth that is known at plan time), ``replace`` what becomes of them."""
+    truth that is known at plan time), ``replace`` what becomes of them.
+
+    With ``removes`` they go instead: map entries, list items, and columns and struct
+    fields that the predicate names at plan time.  A field that it names row by row is
+    null in those rows, as a schema has no other way to say it.  The row is marked.
+    """
+
+    removes = False
 
     def predicate(self, value: Column, key: str | Column, kind: DataType, profile: Profile) -> Column | bool:
         raise NotImplementedError

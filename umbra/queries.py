@@ -536,6 +536,30 @@ def custom_strategy_mask(spark, sf_dir):
     return mask_frame(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), p)
 
 
+class DropRule(ColumnStrategy):
+    """Whatever is called ``drop_*`` goes, and list items and map values that say so."""
+
+    removes = True
+
+    def predicate(self, value, key, kind, profile):
+        if isinstance(key, str):
+            return key.startswith("drop_")
+        said = (value == "error") if kind.typeName() == "string" else F.lit(False)
+        return key.startswith("drop_") | F.coalesce(said, F.lit(False))
+
+
+@query(
+    """SELECT event_id, struct_pack(kept := event_type) AS pair, map_from_entries(list_filter([ROW('type', event_type), ROW('auth_token', '[REDACTED]')], lambda e: e[2] <> 'error')) AS m,
+    list_filter([event_type, 'x'], lambda e: e <> 'error') AS items, true AS _redacted FROM events"""
+)
+def removal_mask(spark, sf_dir):
+    register("drop_rule", DropRule())
+    kind, user = F.col("event_type"), F.col("user_id").cast("string")
+    m = F.create_map(F.lit("type"), kind, F.lit("drop_user"), user, F.lit("auth_token"), F.lit("t"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.struct(kind.alias("kept"), user.alias("drop_user")).alias("pair"), m.alias("m"), F.array(kind, F.lit("x")).alias("items"), user.alias("drop_me"))
+    return mask_frame(rows, from_config({"strategies": ["drop_rule", BLOCKED], "blocked_keys": ["*token"]}), keep=("event_id",))
+
+
 @query("SELECT event_id, '[REDACTED]' AS user_id, event_type, props, true AS _redacted FROM events")
 def mask_stream(spark, sf_dir):
     """The masking of a stream, run over all that is there; its output is read back."""
