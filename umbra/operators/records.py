@@ -21,12 +21,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from umbra.operators.document import encode, mask_json
+from umbra.operators.document import encode, mask_json, told_documents
 from umbra.operators.keys import is_blocked, is_safe
+from umbra.operators.reports import observed as observed_rows
 from umbra.operators.rules import BLOCK, branches, chosen, decision, hits
 from umbra.plans.registry import ColumnStrategy, PyStrategy, resolve
 from umbra.profiles import BLOCKED, LARGE_OBJECT, REMOVE, SAFE, Profile
@@ -247,20 +248,28 @@ def native(profile: Profile) -> bool:
 
 
 def mask_documents(
-    df: DataFrame, column: str, profile: Profile, out: str | None = None, compat: bool = False, shapes: list[Node] | None = None
+    df: DataFrame, column: str, profile: Profile, out: str | None = None, compat: bool = False, shapes: list[Node] | None = None, observation: Observation | str | None = None
 ) -> DataFrame:
     """``df`` with the JSON documents of ``column`` masked in ``out`` (default: in place).
 
     Gives what ``document.mask_json`` gives for every row: nulls, what can't be decoded
     and any other shape included.  ``shapes`` are those to compile; without them the
     most frequent ones are looked for (not in streams, where there are none unless given).
+    observation: is filled with the rows and those whose document can't be decoded, under
+    the name of the policy that they met (see ``reports``).
     """
     out = out or column
     name = f"`{column}`"
     if shapes is None:
         shapes = [] if df.isStreaming or not native(profile) else observed(df, name)
+    told = F.col(f"{_NAME}_told")
+    policy = f"undecodable: {profile.non_redactable_object_behavior}"
+    seen = lambda d: observed_rows(d, observation, [(column, policy, told["bad"])])
     if not shapes or not native(profile):
-        return df.withColumn(out, mask_json(F.col(name), profile, compat))
+        if observation is None:
+            return df.withColumn(out, mask_json(F.col(name), profile, compat))
+        told_df = seen(df.withColumn(f"{_NAME}_told", told_documents(F.col(name), profile, compat)))
+        return told_df.withColumn(out, told["v"].cast("string")).drop(f"{_NAME}_told")
     text, columns = F.col(name), df.columns
     staged = df.select("*", *(F.from_json(text, s.type).alias(f"{_NAME}_parsed_{i}") for i, s in enumerate(shapes)))
     plans = []
@@ -275,7 +284,10 @@ def mask_documents(
             plain = plain & ~text.rlike(r"[^\x00-\x7f]")
         plan.guards = [same, plain, *plan.guards]
         plans.append((plan, F.replace(document, F.lit("/"), F.lit("\\/")) if compat else document))
-    return finished(staged, plans, columns, out, lambda open_: mask_json(F.when(open_, text), profile, compat))
+    if observation is None:
+        return finished(staged, plans, columns, out, lambda open_: mask_json(F.when(open_, text), profile, compat))
+    between = lambda d: seen(d.withColumn(f"{_NAME}_told", told_documents(F.when(F.col(_NAME) < 0, text), profile, compat)))
+    return finished(staged, plans, columns, out, lambda open_: told["v"].cast("string"), between)
 
 
 def compiled(profile: Profile, shape: Node, value: Column, number: int, compat: bool, texts_checked: bool) -> tuple[Compiled, Column] | None:
@@ -287,14 +299,18 @@ def compiled(profile: Profile, shape: Node, value: Column, number: int, compat:
         return None
 
 
-def finished(df: DataFrame, plans: list[tuple[Compiled, Column]], columns: list[str], out: str, rest: Callable[[Column], Column]) -> DataFrame:
-    """``df`` with ``out``: the document of the first plan that fits a row, else what ``rest`` makes of the rows still open."""
+def finished(df: DataFrame, plans: list[tuple[Compiled, Column]], columns: list[str], out: str, rest: Callable[[Column], Column], between: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
+    """``df`` with ``out``: the document of the first plan that fits a row, else what ``rest`` makes of the rows still open.
+
+    between: a step once it is known which rows are open.
+    """
     which = F.lit(-1)
     for i, (plan, _) in reversed(list(enumerate(plans))):
         which = F.when(F.coalesce(reduce(Column.__and__, plan.guards), F.lit(False)), F.lit(i)).otherwise(which)
     df = df.withColumn(_NAME, which)
     for stage in ([c for p, _ in plans for c in p.early], [c for p, _ in plans for c in p.staged]):
         df = df.select("*", *stage) if stage else df
+    df = between(df)
     result = rest(F.col(_NAME) < 0)  # Python gets nulls for what is done
     for i, (_, document) in enumerate(plans):
         result = F.when(F.col(_NAME) == i, document).otherwise(result)

@@ -13,7 +13,7 @@ from umbra.functions.dialect import Pattern, search
 from umbra.functions.entropy import byte_entropy_native, entropy_of, is_common_pattern, raw_bytes
 from umbra.operators.keys import blocked_column, is_blocked, is_safe, safe_column
 from umbra.operators.nested import ENTROPY_BIT, bit_of
-from umbra.plans.registry import ColumnStrategy, resolve
+from umbra.plans.registry import ColumnStrategy, named
 from umbra.profiles import BLOCKED, ENTROPY, LARGE_OBJECT, LARGE_STRING, REGEX, REMOVE, SAFE, Profile
 
 #: What a branch of the chain does with a value.
@@ -27,7 +27,7 @@ class Branch:
     """One rule at one place: when, and what then.  ``when`` True is known at plan time.
 
     ``entropy``: ``when`` is only what comes before the entropy itself is looked at.
-    ``plain``: the value is the profile's replacement.
+    ``plain``: the value is the profile's replacement.  ``rule``: its name, for reports.
     """
 
     when: Column | bool
@@ -36,6 +36,7 @@ class Branch:
     note: Column | None = None
     entropy: bool = False
     plain: bool = False
+    rule: str = ""
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,7 @@ def branches(value: Column, key: str | Column, kind: T.DataType, profile: Profil
     out: list[Branch] = []
     literal = isinstance(key, str)
     replacement = F.lit(profile.replacement)
-    for rule in resolve(profile):
+    for name, rule in named(profile):
         made: Branch | None = None
         if isinstance(rule, ColumnStrategy) and rule.removes:
             # A text without a key is its own root, of which the marker is left.
@@ -124,6 +125,7 @@ def branches(value: Column, key: str | Column, kind: T.DataType, profile: Profil
                 made = Branch(entropy_worth(value, profile, text, nested, told), REPLACE, replacement, entropy=True, plain=True)
         if made is None or made.when is False:
             continue
+        made.rule = name
         out.append(made)
         if made.when is True:
             break

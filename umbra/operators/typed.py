@@ -12,6 +12,9 @@ string.  ``_redacted`` is always there if the profile marks, ``_redacted_keys``
 also tracks; each takes the place of an input column of its name, as do the notes
 (names are the same as the session's ``caseSensitive`` says).
 
+A VARIANT's contents, which no schema names, are masked as a document's; inside arrays
+and maps only key rules reach one.
+
 Which rule takes a leaf is decided once a row: decisions are columns of a projection of
 their own, values, flags and keys of the next.  Inside arrays and maps an element's
 value, flag and keys are made together, with what Python says of their strings (see
@@ -23,17 +26,21 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from umbra.operators.document import mask_variant
 from umbra.operators.keys import is_blocked
 from umbra.operators.nested import told, told_type
 from umbra.operators.rules import BLOCK, DECISION, KEEP, OVERSIZE, REMOVED, Branch, branches, chosen, decision, hits
+from umbra.operators.reports import observed
 from umbra.plans.registry import ColumnStrategy, resolve
 from umbra.profiles import BLOCKED, SAFE, Profile
 
 REDACTED, KEYS, NOTES = "_redacted", "_redacted_keys", "_redaction_notes"
+#: What a report says of values masked somewhere inside an array, a map or a VARIANT.
+INSIDE = "inside"
 
 
 @dataclass
@@ -81,6 +88,7 @@ class Masker:
         self.tracks = profile.mark_redacted and profile.track_redacted_keys
         self.index_rules = any(r not in (SAFE, BLOCKED) for r in resolve(profile)) or any("*" in k or k.isdigit() for k in profile.blocked_keys)
         self.removes = any(isinstance(r, ColumnStrategy) and r.removes for r in resolve(profile))
+        self.counts: list[tuple[str, str, Column]] = []  # path, rule, did it take the row's value
         self.early: list[Column] = []
         self.staged: list[Column] = []
 
@@ -101,15 +109,25 @@ class Masker:
         found = branches(value, key, kind, self.profile)
         if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
             return self._container(value, kind, key, path, found)
+        if isinstance(kind, T.VariantType) and not (found and found[0].when is True and found[0].what != KEEP):
+            return self._variant(value, key, path)
         if not hits(found):
             return Masked(value, same=True)
         if found[0].when is True:
-            return self._fixed(found[0], key)
+            return self._fixed(found[0], key, path)
         at = self._stage(decision(found, value, self.profile, stage=self._early))
+        self.counts += [(path, found[i - 1].rule, at == i) for i in hits(found)]
         out = chosen(value, [(at == i, found[i - 1].value) for i in hits(found)])
         keys = [self._key(at == i, key) for i in hits(found) if found[i - 1].what == BLOCK] if self.tracks else []
         return Masked(out, [at.isin(*hits(found))], keys)
 
+    def _variant(self, value: Column, key: str, path: str) -> Masked:
+        """Contents that no schema names, masked as a document is."""
+        said = self._early(mask_variant(value, key, self.profile))
+        redacted = F.coalesce(said["r"], F.lit(False))
+        self.counts.append((path, INSIDE, redacted))
+        return Masked(F.parse_json(said["v"].cast("string")), [redacted], [said["k"]] if self.tracks else [])
+
     def element(self, value: Column, kind: T.DataType, key: str | Column, said: Column | None = None) -> Column | None:
         """(value, was it masked, blocked keys) inside an array or map; None if nothing there can ever be masked.
 
@@ -214,9 +232,10 @@ class Masker:
             tests += [(b.when, b) for b in again if b.what != KEEP and isinstance(b.when, Column)]
         return tests
 
-    def _fixed(self, branch: Branch, key: str | Column) -> Masked:
+    def _fixed(self, branch: Branch, key: str | Column, path: str) -> Masked:
         if branch.what == KEEP:
             raise AssertionError("a kept leaf is decided before")
+        self.counts.append((path, branch.rule, F.lit(True)))
         return Masked(branch.value, [F.lit(True)], [self._key(None, key)] if branch.what == BLOCK and self.tracks else [], gone=branch.what == REMOVED)
 
     def _gone(self, value: Column, kind: T.DataType, key: str) -> bool:
@@ -231,17 +250,23 @@ class Masker:
         null = F.lit(None).cast(kind)
         if found and found[0].when is True and found[0].what != KEEP:
             if found[0].what == OVERSIZE:
+                self.counts.append((path, found[0].rule, value.isNotNull()))
                 return Masked(null, [value.isNotNull()], notes=self._note(path, F.when(value.isNotNull(), found[0].note)))
-            return self._fixed(found[0], key)
+            return self._fixed(found[0], key, path)
         # Whatever its own key says, the container is tried again without a key.
         again = branches(value, "", kind, self.profile)
         if again and again[0].when is True and again[0].what != KEEP:
+            self.counts.append((path, again[0].rule, value.isNotNull()))
             return Masked(null, [value.isNotNull()], notes=self._note(path, F.when(value.isNotNull(), again[0].note if again[0].note is not None else again[0].value)))
         inner = self._inside(value, kind, path)
         out, redacted, keys, notes = inner.value, list(inner.redacted), list(inner.keys), list(inner.notes)
         tests = self._tests(found, again)
+        taken = reduce(Column.__or__, (F.coalesce(w, F.lit(False)) for w, _ in tests), F.lit(False))
+        if not isinstance(kind, T.StructType) and inner.redacted:
+            self.counts.append((path, INSIDE, _any(inner.redacted) & ~taken))
         for when, b in tests:
             when = F.coalesce(when, F.lit(False))
+            self.counts.append((path, b.rule, when))
             out = F.when(when, F.lit(None)).otherwise(out)  # of whatever type the inside has now
             keys = [F.when(when, F.array().cast("array<string>")).otherwise(k) for k in keys]
             if b.what == BLOCK and self.tracks:
@@ -275,9 +300,12 @@ class Masker:
         )
 
 
-def mask_frame(df: DataFrame, profile: Profile, keep: tuple[str, ...] = ()) -> DataFrame:
+def mask_frame(df: DataFrame, profile: Profile, keep: tuple[str, ...] = (), observation: Observation | str | None = None) -> DataFrame:
     """``df`` with its columns masked; columns in ``keep`` are left alone (a row's own identity).
 
+    observation: is filled, while the masked table is written, with the rows, and those
+    masked by each rule at each path (see ``reports``); in streams a name for listeners.
+
     A profile that blocks the empty key, as ``*`` does, masks the row as a whole: its
     columns are null and the note has the replacement.
     """
@@ -304,6 +332,8 @@ def mask_frame(df: DataFrame, profile: Profile, keep: tuple[str, ...] = ()) -> D
         marks[NOTES] = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
     staged = df.select("*", *masker.early) if masker.early else df
     staged = staged.select("*", *masker.staged) if masker.staged else staged
+    if observation is not None:
+        staged = observed(staged, observation, masker.counts)
     columns = [c for c in df.columns if c not in parts or not parts[c].gone]
     return _with_marks(staged, {c: p.value for c, p in parts.items()}, marks, columns)
 

@@ -69,4 +69,9 @@ def load_custom(classes: Mapping[Any, Any]) -> None:
 
 def resolve(profile: Profile) -> list[str | ColumnStrategy | PyStrategy]:
     """The profile's rules in order; names that are neither known nor registered are dropped."""
-    return [_strategies.get(name, name) for name in profile.strategies if name in _strategies or name in ALL_RULES]
+    return [rule for _, rule in named(profile)]
+
+
+def named(profile: Profile) -> list[tuple[str, str | ColumnStrategy | PyStrategy]]:
+    """The same with the names that the profile gives them."""
+    return [(name, _strategies.get(name, name)) for name in profile.strategies if name in _strategies or name in ALL_RULES]

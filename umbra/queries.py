@@ -11,8 +11,9 @@ import sys
 import uuid
 import warnings
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from umbra.functions.dialect import search
@@ -21,6 +22,7 @@ from umbra.functions.sql import pattern_hits
 from umbra.functions.sql import register as register_sql
 from umbra.operators.document import mask_json
 from umbra.operators.records import mask_documents
+from umbra.operators.reports import report as report_of
 from umbra.operators.rules import mask_text, with_masked
 from umbra.operators.scanning import report, scan_contents, scan_documents, status_table, summary
 from umbra.operators.typed import mask_frame
@@ -231,14 +233,16 @@ def environment_mask(spark, sf_dir):
 
 
 @query(
-    "SELECT name, rules, patterns, safe_keys, blocked_keys FROM (VALUES "
-    + ", ".join(f"('{n}', {len(c['strategies'])}::BIGINT, {len(c['patterns'])}::BIGINT, {len(c['safe_keys'])}::BIGINT, {len(c['blocked_keys'])}::BIGINT)" for n, c in PROFILES.items())
-    + ") v(name, rules, patterns, safe_keys, blocked_keys)"
+    " UNION ALL ".join(
+        f"""SELECT '{n}' AS profile, conv_id, turn, CASE WHEN {hits("text", c["patterns"].values())} THEN '[REDACTED]' ELSE text END AS text FROM conversations"""
+        for n, c in PROFILES.items()
+    )
 )
 def profile_list(spark, sf_dir):
-    found = [load(n, PROFILES) for n in available_profiles() if profile_exists(n)]
-    rows = [(p.name, len(p.strategies), len(p.patterns), len(p.safe_keys), len(p.blocked_keys)) for p in found]
-    return spark.createDataFrame(rows, "name string, rules long, patterns long, safe_keys long, blocked_keys long")
+    """A table masked by the patterns of every profile that there is."""
+    said = table(spark, sf_dir, "conversations")
+    made = [said.select(F.lit(n).alias("profile"), "conv_id", "turn", mask_text(F.col("text"), variant(n, strategies=[REGEX])).alias("text")) for n in available_profiles() if profile_exists(n)]
+    return reduce(DataFrame.union, made)
 
 
 @query(
@@ -351,9 +355,10 @@ def nested_struct_mask(spark, sf_dir):
 # --- documents -------------------------------------------------------------------------------
 
 
-@query("""SELECT event_id, '{"k":"[REDACTED]","_redacted":true,"_redacted_keys":["k"]}' AS doc FROM events""")
+@query("""SELECT event_id, '{"id":' || event_id || ',"k":"[REDACTED]","_redacted":true,"_redacted_keys":["k"]}' AS doc FROM events""")
 def json_doc_mask(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").select("event_id", F.col("props").alias("doc"))
+    doc = F.concat(F.lit('{"id": '), F.col("event_id"), F.lit(", "), F.expr("substring(props, 2)"))
+    rows = table(spark, sf_dir, "events").select("event_id", doc.alias("doc"))
     return mask_documents(rows, "doc", keyed(blocked=["k"]))
 
 
@@ -392,6 +397,54 @@ def _json_records(profile: str) -> None:
 _json_records("default")
 _json_records("strict")
 
+
+@query("""SELECT event_id, '{"in":{"pin":"[REDACTED]","user":' || user_id || '},"k":"[REDACTED]"}' AS doc, true AS _redacted FROM events""")
+def variant_mask(spark, sf_dir):
+    """A VARIANT column's contents, which no schema names (its keys come in their own order)."""
+    doc = F.concat(F.lit('{"k":1,"in":{"user":'), F.col("user_id"), F.lit(',"pin":"'), F.col("event_type"), F.lit('"}}'))
+    rows = table(spark, sf_dir, "events").select("event_id", F.parse_json(doc).alias("v"))
+    masked = mask_frame(rows, keyed(blocked=["k", "pin"], track_redacted_keys=False), keep=("event_id",))
+    return masked.select("event_id", F.to_json("v").alias("doc"), "_redacted")
+
+
+def _list_chain(profile: str) -> str:
+    """The profile's rules over conversations' texts as items of a list, and as values of a map."""
+    c = PROFILES[profile]
+    e, size = c["shannon_entropy"], c["max_value_length"]
+    return f"""
+SELECT conv_id, turn, [new, role] AS items, map {{'said': new, 'api_key': '[REDACTED]'}} AS cells
+FROM (SELECT *, CASE WHEN strlen(text) > {size} THEN '[REDACTED] (String with ' || strlen(text) || ' characters)' WHEN {hits("text", c["patterns"].values())} THEN '[REDACTED]'
+    WHEN strlen(text) >= {e["min_length"]} AND NOT {common("text", e["exclusion_patterns"])} AND coalesce(h, 0) >= {e["threshold"]} THEN '[REDACTED]' ELSE text END AS new
+  FROM (SELECT *, conv_id || '/' || turn AS id FROM conversations) c LEFT JOIN {entropies("conversations", "conv_id || '/' || turn", "text")} e ON c.id = e.k)"""
+
+
+def _nested_chain(profile: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cells = F.create_map(F.lit("said"), F.col("text"), F.lit("api_key"), F.col("role"))
+        rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array("text", "role").alias("items"), cells.alias("cells"))
+        return mask_frame(rows, load(profile, PROFILES), keep=("conv_id", "turn")).select("conv_id", "turn", "items", "cells")
+
+    query(_list_chain(profile), f"nested_chain_{profile}")(run)
+
+
+_nested_chain("default")
+_nested_chain("strict")
+
+
+@query(
+    f"""WITH d AS (SELECT CASE WHEN strlen(text) > 900 THEN '{LARGE_STRING}' WHEN {hits("text", PROFILES["default"]["patterns"].values())} THEN '{REGEX}' END AS rule FROM conversations)
+    SELECT path, rule, rows FROM (SELECT NULL AS path, 'rows' AS rule, count(*) AS rows FROM d UNION ALL SELECT 'role', '{BLOCKED}', count(*) FROM d
+    UNION ALL SELECT 'said.text', '{LARGE_STRING}', count(*) FILTER (rule = '{LARGE_STRING}') FROM d
+    UNION ALL SELECT 'said.text', '{REGEX}', count(*) FILTER (rule = '{REGEX}') FROM d)"""
+)
+def mask_report(spark, sf_dir):
+    """What a masking job counted while its rows went to a sink."""
+    p = variant("default", strategies=[BLOCKED, LARGE_STRING, REGEX], blocked_keys=["role"], max_value_length=900)
+    seen = Observation()
+    rows = table(spark, sf_dir, "conversations").select("role", F.struct("text").alias("said"))
+    mask_frame(rows, p, observation=seen).write.format("noop").mode("overwrite").save()
+    return report_of(spark, seen)
+
 _BAD = {
     "preserve": "'{' || event_type",
     "remove": "'__UMBRA_REMOVE__'",
@@ -403,9 +456,11 @@ _BAD = {
 def _policy(policy: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         p = from_config({"strategies": list(ALL_RULES), "non_redactable_object_behavior": policy})
-        return table(spark, sf_dir, "events").select("event_id", mask_json(F.concat(F.lit("{"), F.col("event_type")), p).alias("doc"))
+        good = F.concat(F.lit('{"id":'), F.col("event_id"), F.lit("}"))
+        doc = F.when(F.col("user_id") % 3 == 0, good).otherwise(F.concat(F.lit("{"), F.col("event_type")))
+        return table(spark, sf_dir, "events").select("event_id", mask_json(doc, p).alias("doc"))
 
-    query(f"SELECT event_id, {_BAD[policy]} AS doc FROM events", f"non_redactable_policy_{policy}")(run)
+    query(f"SELECT event_id, CASE WHEN user_id % 3 = 0 THEN '{{\"id\":' || event_id || '}}' ELSE {_BAD[policy]} END AS doc FROM events", f"non_redactable_policy_{policy}")(run)
 
 
 for _p in _BAD:
