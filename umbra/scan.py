@@ -7,13 +7,41 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
+import shutil
 import sys
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from umbra.operators.scanning import report, scan_contents, status_table, summary
 from umbra.profiles import load, scan_settings
-from umbra.sources.allfiles import missing_paths, read_files
+from umbra.sources.allfiles import missing_paths, read_files, shared_folder
+from umbra.sources.lines import BLOCK, pretty, write_report
+
+
+def json_lines(results: DataFrame) -> DataFrame:
+    """The report's rows as items of a JSON list, in the order of their paths."""
+
+    @F.pandas_udf("string")
+    def item(rows):
+        return rows.map(lambda r: pretty(json.loads(r)))
+
+    rows = report(results).orderBy("path")
+    return rows.select(item(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})).alias("line"))
+
+
+def _printed(spark: SparkSession, lines: DataFrame, **options: str) -> None:
+    """Write the report where executors see it, and copy it to the standard output in blocks."""
+    folder = os.path.join(shared_folder(spark).removeprefix("file://"), f"umbra-report-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    try:
+        write_report(lines, f"{folder}/report", **options)
+        with open(f"{folder}/report", encoding="utf-8", errors="replace", newline="") as f:
+            shutil.copyfileobj(f, sys.stdout, BLOCK)
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -40,18 +68,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     try:
         counts = summary(results).first()
         if args.output == "json":
-            rows = report(results).orderBy("path").toLocalIterator()
-            print(json.dumps([r.asDict(recursive=True) for r in rows], indent=4))
+            _printed(spark, json_lines(results), head="[\n", between=",\n", tail="\n]\n", empty="[]\n")
         elif not args.summary_only:
-            table = status_table(results).orderBy("file_path")
-            lines = [("Status", "Findings", "File Path"), *((r.status, r.findings, r.file_path) for r in table.toLocalIterator())]
-            widths = [max(len(x[i]) for x in lines) for i in range(3)]
-            rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
-            print(rule)
-            for i, line in enumerate(lines):
-                print("| " + " | ".join(v.ljust(w) for v, w in zip(line, widths)) + " |")
-                if i in (0, len(lines) - 1):
-                    print(rule)
+            table = status_table(results)
+            names = ("Status", "Findings", "File Path")
+            found = table.agg(*(F.coalesce(F.max(F.length(c)), F.lit(0)) for c in table.columns)).first()
+            widths = [max(len(n), w) for n, w in zip(names, found)]
+            rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+\n"
+            head = rule + "| " + " | ".join(n.ljust(w) for n, w in zip(names, widths)) + " |\n" + rule
+            cells = [F.concat(F.lit("| " if i == 0 else " | "), F.rpad(c, w, " ")) for i, (c, w) in enumerate(zip(table.columns, widths))]
+            lines = table.orderBy("file_path").select(F.concat(*cells, F.lit(" |\n")).alias("line"))
+            _printed(spark, lines, head=head, tail=rule if counts.files_scanned else "")
         print(f"\nScan complete. Files scanned: {counts.files_scanned}")
         print(f"Files with findings: {counts.files_with_findings}")
     finally:

@@ -8,6 +8,11 @@ have to be visible to every executor.
 The driver opens directories only until there are enough for the tasks, which list the
 trees below them; the listed paths, rows of a few bytes, are dealt out by path, so that
 links to one file meet, and the tasks that get them read the contents.
+
+As a stream the source gives each file once for each time it changes: its offset is the
+last modification time and path that were taken.  A trigger walks the names on the
+driver and reads only what is newer; files that changed in the last ``settle`` seconds
+wait for the next one, so that no file written at the same moment falls behind.
 """
 
 from __future__ import annotations
@@ -16,13 +21,14 @@ import fnmatch
 import json
 import os
 import tempfile
+import time
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 SCHEMA = "path string, length long, content binary, error string"
 #: Directories that the driver opens at most, and bytes of contents that a task hands on at a time.
@@ -125,6 +131,42 @@ class _Reader(DataSourceReader):
             yield from self.rules.below(top, folder)
 
 
+class _Newer(DataSourceStreamReader):
+    """Files after an offset [modified in nanoseconds, path]."""
+
+    def __init__(self, options: dict[str, str]):
+        self.reader, self.tasks = _Reader(options), int(options.get("tasks", 8))
+        self.settle = float(options.get("settle", 2))
+
+    def _files(self) -> Iterator[tuple[int, str, int]]:
+        r, seen = self.reader, set()
+        named = (f for p in r.paths if os.path.isfile(p) and (f := r.rules.eligible(p)))
+        for path, size in chain(named, *(r.rules.below(p, p) for p in r.paths if os.path.isdir(p))):
+            try:
+                modified = os.stat(path).st_mtime_ns
+            except OSError:  # gone meanwhile
+                continue
+            if path not in seen:
+                seen.add(path)
+                yield modified, path, size
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"modified": -1, "path": ""}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        limit = time.time_ns() - int(self.settle * 1e9)
+        last = max(((m, p) for m, p, _ in self._files() if m <= limit), default=(-1, ""))
+        return {"modified": last[0], "path": last[1]}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        low, high = ((o["modified"], o["path"]) for o in (start, end))
+        new = sorted((p, n) for m, p, n in self._files() if low < (m, p) <= high)
+        return [_Part(new[i :: self.tasks], []) for i in range(min(self.tasks, len(new)))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from partition.files
+
+
 class AllFiles(DataSource):
     """(path, length) of files.  Options: paths, exclude and exclude_paths (JSON lists), max_size."""
 
@@ -138,6 +180,9 @@ class AllFiles(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return _Newer(self.options)
+
 
 def _contents(iterator):
     """path, length, content and error of listed files."""
@@ -165,10 +210,20 @@ def _contents(iterator):
         yield batch()
 
 
+def _options(paths: Iterable[str], exclude: Iterable[str], max_size: int, exclude_paths: Iterable[str]) -> dict[str, str]:
+    return {"paths": json.dumps(list(paths)), "exclude": json.dumps(list(exclude)), "exclude_paths": json.dumps(list(exclude_paths)), "max_size": str(max_size)}
+
+
 def read_files(spark: SparkSession, paths: Iterable[str], exclude: Iterable[str] = (), max_size: int = 10_485_760, exclude_paths: Iterable[str] = ()) -> DataFrame:
     """path, length, content, error of each file."""
     spark.dataSource.register(AllFiles)
-    options = {"paths": json.dumps(list(paths)), "exclude": json.dumps(list(exclude)), "exclude_paths": json.dumps(list(exclude_paths)), "max_size": str(max_size)}
-    listed = spark.read.format("allfiles").options(**options).load()
+    listed = spark.read.format("allfiles").options(**_options(paths, exclude, max_size, exclude_paths)).load()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return listed.repartition(n, "path").dropDuplicates(["path"]).select("path").mapInArrow(_contents, SCHEMA)
+
+
+def stream_files(spark: SparkSession, paths: Iterable[str], exclude: Iterable[str] = (), max_size: int = 10_485_760, exclude_paths: Iterable[str] = (), settle: float = 2) -> DataFrame:
+    """The same as a stream: files that are new or changed since the last trigger."""
+    spark.dataSource.register(AllFiles)
+    options = _options(paths, exclude, max_size, exclude_paths) | {"settle": str(settle), "tasks": spark.conf.get("spark.sql.shuffle.partitions")}
+    return spark.readStream.format("allfiles").options(**options).load().select("path").mapInArrow(_contents, SCHEMA)
