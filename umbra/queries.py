@@ -26,8 +26,8 @@ from umbra.operators.reports import report as report_of
 from umbra.operators.rules import mask_text, with_masked
 from umbra.operators.scanning import report, scan_contents, scan_documents, status_table, summary
 from umbra.operators.typed import mask_frame
-from umbra.plans.registry import ColumnStrategy, register
-from umbra.profiles import ALL_RULES, BLOCKED, ENTROPY, LARGE_OBJECT, LARGE_STRING, PROFILES, REGEX, SAFE, Profile, available_profiles, from_config, load, profile_exists
+from umbra.plans.registry import ColumnStrategy, PyStrategy, load_custom, named, register
+from umbra.profiles import ALL_RULES, BLOCKED, ENTROPY, LARGE_OBJECT, LARGE_STRING, PROFILES, REGEX, REMOVE, SAFE, Profile, available_profiles, from_config, load, profile_exists
 from umbra.sources.allfiles import read_files, shared_folder
 from umbra.streaming.logs import batch_lines, log_lines, tap
 
@@ -591,6 +591,30 @@ def custom_strategy_mask(spark, sf_dir):
     return mask_frame(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), p)
 
 
+class HandlerRule(PyStrategy):
+    """Named by its class in a configuration: ``gone`` goes, and a list becomes a text, which is wrapped at the root."""
+
+    def should_handle(self, value, key, profile):
+        return key == "gone" or (isinstance(value, list) and key in ("", "items"))
+
+    def handle(self, value, key, profile, context):
+        context.redacted = True
+        return REMOVE if key == "gone" else f"{len(value)} items"
+
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{"id":' || event_id || ',"items":"2 items","in":{},"_redacted":true}'
+    ELSE '{"_redacted_array":"1 items","_redacted":true}' END AS doc, 'handler_rule,blocked_keys' AS rules FROM events"""
+)
+def handler_mask(spark, sf_dir):
+    """A strategy loaded from a class's name, with removal and wrapping; and the rules that the profile then has."""
+    load_custom({"handler_rule": f"{__name__}.HandlerRule", "broken": "no.such.Class", "other": "umbra.profiles.Profile"})
+    p = from_config({"strategies": ["handler_rule", "broken", "other", BLOCKED], "blocked_keys": ["pin"]})
+    whole = F.concat(F.lit('{"id":'), F.col("event_id"), F.lit(',"gone":{"pin":1},"items":['), F.col("user_id"), F.lit(',2],"in":{"gone":1}}'))
+    doc = F.when(F.col("event_id") % 2 == 0, whole).otherwise(F.concat(F.lit("["), F.col("user_id"), F.lit("]")))
+    return table(spark, sf_dir, "events").select("event_id", mask_json(doc, p).alias("doc"), F.lit(",".join(n for n, _ in named(p))).alias("rules"))
+
+
 class DropRule(ColumnStrategy):
     """Whatever is called ``drop_*`` goes, and list items and map values that say so."""
 
