@@ -14,8 +14,15 @@ def entropy_of(raw: bytes) -> float:
     """Bits a byte; 0.0 for up to one byte."""
     if len(raw) <= 1:
         return 0.0
-    counts = np.bincount(np.frombuffer(raw, dtype=np.uint8))
-    p = counts[counts > 0] / len(raw)
+    return entropy_of_counts(np.bincount(np.frombuffer(raw, dtype=np.uint8)))
+
+
+def entropy_of_counts(counts: np.ndarray) -> float:
+    """The same of how often each byte occurs, by value."""
+    n = int(counts.sum())
+    if n <= 1:
+        return 0.0
+    p = counts[counts > 0] / n
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 

@@ -18,7 +18,11 @@ LENGTH = "_umbra_length"
 FINDING = "struct<type:string,reason:string,original_length:bigint,profile:string>"
 
 
-def _finding(kind: str, reason: str, length: Column, profile: Profile) -> Column:
+#: Type and reason of what a content as a whole can be found to be.
+DECIDED = {"whole": ("full_content_redacted", "Entire content was redacted"), "large": ("large_string", "Content was collapsed for its length")}
+
+
+def finding(kind: str, reason: str, length: Column, profile: Profile) -> Column:
     return F.array(
         F.struct(F.lit(kind).alias("type"), F.lit(reason).alias("reason"), length.cast("long").alias("original_length"), F.lit(profile.name).alias("profile"))
     )
@@ -38,8 +42,7 @@ def scan_contents(df: DataFrame, profile: Profile, path: str = "path", content:
     else:
         value, length, text = raw, F.octet_length(raw), Text()
     none = F.array().cast(f"array<{FINDING}>")
-    whole = _finding("full_content_redacted", "Entire content was redacted", F.col(LENGTH), profile)
-    large = _finding("large_string", "Content was collapsed for its length", F.col(LENGTH), profile)
+    whole, large = (finding(*DECIDED[d], F.col(LENGTH), profile) for d in ("whole", "large"))
     rules = branches(value, "", T.StringType(), profile, text) if profile.enabled else []
     own = value == F.lit(profile.replacement)
     plain, other = [F.lit(False)], [F.lit(False)]  # of the branches: those that leave the replacement, and those that leave something else

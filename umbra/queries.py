@@ -24,6 +24,7 @@ from umbra.operators.document import mask_json
 from umbra.operators.records import mask_documents
 from umbra.operators.reports import report as report_of
 from umbra.operators.rules import mask_text, with_masked
+from umbra.operators.parts import scan_files
 from umbra.operators.scanning import report, scan_contents, scan_documents, status_table, summary
 from umbra.operators.typed import mask_frame
 from umbra.plans.registry import ColumnStrategy, PyStrategy, load_custom, named, register
@@ -531,6 +532,14 @@ def file_source(spark, sf_dir):
     return read_files(spark, [sf_dir], max_size=sys.maxsize).select(F.substring_index("path", "/", -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
 
 
+@query()
+def scan_in_parts(spark, sf_dir):
+    """Findings in the tables' own files, byte ranges of 256 KiB in tasks of their own."""
+    found = scan_files(spark, [sf_dir], load("file_scan", PROFILES), max_size=sys.maxsize, part=1 << 18)
+    kinds = F.transform("findings", lambda f: f["type"])
+    return found.select(F.substring_index("path", "/", -1).alias("name"), F.array_join(kinds, ",").alias("types"), "skipped", "profile")
+
+
 @query("SELECT event_id::VARCHAR AS path, event_type || '_token' AS type, 1 AS findings_count FROM events")
 def scan_document_keys(spark, sf_dir):
     """Findings in documents: the keys masked by name."""

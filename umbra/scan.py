@@ -15,9 +15,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from umbra.operators.scanning import report, scan_contents, status_table, summary
+from umbra.operators.parts import scan_files
+from umbra.operators.scanning import report, status_table, summary
 from umbra.profiles import load, scan_settings
-from umbra.sources.allfiles import missing_paths, read_files, shared_folder
+from umbra.sources.allfiles import missing_paths, shared_folder
 from umbra.sources.lines import BLOCK, pretty, write_report
 
 
@@ -63,8 +64,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     for path in missing_paths(args.paths):
         print(f"Path not found or not accessible: {path}")
     spark = spark or SparkSession.builder.appName("umbra.scan").getOrCreate()
-    files = read_files(spark, args.paths, settings["exclude_patterns"], settings["max_file_size"])
-    results = scan_contents(files, profile, compat=args.compat).persist()
+    results = scan_files(spark, args.paths, profile, settings["exclude_patterns"], settings["max_file_size"], compat=args.compat).persist()
     try:
         counts = summary(results).first()
         if args.output == "json":

@@ -214,12 +214,22 @@ def _options(paths: Iterable[str], exclude: Iterable[str], max_size: int, exclud
     return {"paths": json.dumps(list(paths)), "exclude": json.dumps(list(exclude)), "exclude_paths": json.dumps(list(exclude_paths)), "max_size": str(max_size)}
 
 
-def read_files(spark: SparkSession, paths: Iterable[str], exclude: Iterable[str] = (), max_size: int = 10_485_760, exclude_paths: Iterable[str] = ()) -> DataFrame:
-    """path, length, content, error of each file."""
+def list_files(spark: SparkSession, paths: Iterable[str], exclude: Iterable[str] = (), max_size: int = 10_485_760, exclude_paths: Iterable[str] = ()) -> DataFrame:
+    """path and length of each file, dealt out by path."""
     spark.dataSource.register(AllFiles)
     listed = spark.read.format("allfiles").options(**_options(paths, exclude, max_size, exclude_paths)).load()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return listed.repartition(n, "path").dropDuplicates(["path"]).select("path").mapInArrow(_contents, SCHEMA)
+    return listed.repartition(n, "path").dropDuplicates(["path"])
+
+
+def read_listed(listed: DataFrame) -> DataFrame:
+    """path, length, content, error of each file that ``list_files`` gave."""
+    return listed.select("path").mapInArrow(_contents, SCHEMA)
+
+
+def read_files(spark: SparkSession, paths: Iterable[str], exclude: Iterable[str] = (), max_size: int = 10_485_760, exclude_paths: Iterable[str] = ()) -> DataFrame:
+    """path, length, content, error of each file."""
+    return read_listed(list_files(spark, paths, exclude, max_size, exclude_paths))
 
 
 def stream_files(spark: SparkSession, paths: Iterable[str], exclude: Iterable[str] = (), max_size: int = 10_485_760, exclude_paths: Iterable[str] = (), settle: float = 2) -> DataFrame:
