@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions.dialect import Pattern, search
 from umbra.functions.entropy import byte_entropy_udf
+from umbra.functions.many import any_found_udf, many
 from umbra.operators.document import DocumentMasker, mask_raw_document
 from umbra.operators.keys import blocked_sql, is_blocked, is_safe
 from umbra.plans.registry import resolve
@@ -32,6 +33,14 @@ def _found(spark: SparkSession, value: str, pattern: Pattern) -> str:
     return f"(contains({value}, {literal(pattern.needs)}) AND {hit})" if pattern.needs else f"({hit})"
 
 
+def _any_found(spark: SparkSession, value: str, patterns: tuple[Pattern, ...]) -> str:
+    if not many(patterns):
+        return " OR ".join(_found(spark, value, p) for p in patterns)
+    name = f"umbra_search_{abs(hash(patterns))}"
+    spark.udf.register(name, any_found_udf(patterns))
+    return f"{name}(CAST({value} AS BINARY))"
+
+
 def _common(spark: SparkSession, value: str, p: Profile) -> str:
     one = lambda text, pattern: f"({_found(spark, value, pattern)}" + (f" AND octet_length({value}) < {HEX_LENGTH})" if text == HEX_EXCLUSION else ")")
     return " OR ".join(one(*e) for e in p.entropy.exclusions) or "false"
@@ -48,7 +57,7 @@ def _masked(spark: SparkSession, p: Profile) -> str:
         elif rule == LARGE_STRING and p.max_value_length is not None:
             cases.append(f"WHEN octet_length(value) > {p.max_value_length} THEN concat({new}, ' (String with ', octet_length(value), ' characters)')")
         elif rule == REGEX and p.patterns:
-            cases.append(f"WHEN {' OR '.join(_found(spark, 'value', x) for _, x in p.patterns)} THEN {new}")
+            cases.append(f"WHEN {_any_found(spark, 'value', tuple(x for _, x in p.patterns))} THEN {new}")
         elif rule == ENTROPY and e.enabled:
             worth = f"octet_length(value) >= {e.min_length} AND NOT ({_common(spark, 'value', p)})"
             cases.append(f"WHEN umbra_byte_entropy(CAST(CASE WHEN {worth} THEN value END AS BINARY)) >= {e.threshold} THEN {new}")

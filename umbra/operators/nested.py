@@ -3,8 +3,9 @@
 Lambdas over arrays can't call Python.  So before them, one function gets a container's
 column as it is in Arrow, goes down to the strings' own buffer whatever the nesting,
 looks at each string's bytes there once, and puts the lists' offsets back around the
-answers.  A string's answer is a set of bits: is its entropy over the threshold, and
-which patterns that Java would overflow on does it have.  The work is linear in the
+answers.  A string's answer is a set of bits: is its entropy over the threshold, has it
+one of the patterns where they are many (``many``), and else which patterns that Java
+would overflow on does it have.  The work is linear in the
 bytes, and no string is built as a Python object but for those patterns.
 """
 
@@ -16,28 +17,35 @@ from pyspark.sql import types as T
 
 from umbra.functions.dialect import Pattern
 from umbra.functions.entropy import entropy_of
+from umbra.functions.many import many, searcher
 from umbra.plans.registry import resolve
 from umbra.profiles import ENTROPY, REGEX, Profile
 
-ENTROPY_BIT = 1
+ENTROPY_BIT, FOUND_BIT = 1, 2
+_DEEP_BIT = 4
 
 
 def deep_patterns(profile: Profile) -> list[Pattern]:
     """The patterns that Python searches, of those that the profile's rules use."""
     rules = resolve(profile)
-    found = [p for _, p in profile.patterns] if REGEX in rules else []
+    found = [p for _, p in profile.patterns] if REGEX in rules and not many(profile.patterns) else []
     if ENTROPY in rules and profile.entropy.enabled:
         found += [p for _, p in profile.entropy.exclusions]
     return list(dict.fromkeys(p for p in found if p.deep))
 
 
 def needed(profile: Profile) -> bool:
-    return (ENTROPY in resolve(profile) and profile.entropy.enabled) or bool(deep_patterns(profile))
+    return (ENTROPY in resolve(profile) and profile.entropy.enabled) or bool(deep_patterns(profile)) or bool(_sought(profile))
+
+
+def _sought(profile: Profile) -> tuple[Pattern, ...]:
+    """The profile's patterns, where they are many."""
+    return tuple(p for _, p in profile.patterns) if REGEX in resolve(profile) and many(profile.patterns) else ()
 
 
 def bit_of(profile: Profile, pattern: Pattern) -> int | None:
     deep = deep_patterns(profile)
-    return 2 << deep.index(pattern) if pattern in deep else None
+    return _DEEP_BIT << deep.index(pattern) if pattern in deep else None
 
 
 def told_type(kind: T.DataType) -> T.DataType | None:
@@ -57,7 +65,7 @@ def told_type(kind: T.DataType) -> T.DataType | None:
     return None
 
 
-def _strings(values, deep: list[Pattern], entropy: bool, least: int, threshold: float):
+def _strings(values, deep: list[Pattern], sought: tuple[Pattern, ...], entropy: bool, least: int, threshold: float):
     """Bits for each string of an Arrow array."""
     import numpy as np
     import pyarrow as pa
@@ -76,7 +84,9 @@ def _strings(values, deep: list[Pattern], entropy: bool, least: int, threshold:
             bits[i] = ENTROPY_BIT
         for k, pattern in enumerate(deep):
             if pattern.found_in(bytes(raw)):
-                bits[i] |= 2 << k
+                bits[i] |= _DEEP_BIT << k
+        if sought and searcher(sought).found_in(bytes(raw)):
+            bits[i] |= FOUND_BIT
     return pa.array(bits)
 
 
@@ -107,7 +117,7 @@ def told(value: Column, kind: T.DataType, profile: Profile) -> Column | None:
     answers = told_type(kind)
     if answers is None or not needed(profile):
         return None
-    deep, e = deep_patterns(profile), profile.entropy
+    deep, sought, e = deep_patterns(profile), _sought(profile), profile.entropy
     entropy = ENTROPY in resolve(profile) and e.enabled
     least, threshold = e.min_length, e.threshold
 
@@ -115,6 +125,6 @@ def told(value: Column, kind: T.DataType, profile: Profile) -> Column | None:
     def look(values):
         import pyarrow.compute  # noqa: F401
 
-        return _told(values, lambda s: _strings(s, deep, entropy, least, threshold))
+        return _told(values, lambda s: _strings(s, deep, sought, entropy, least, threshold))
 
     return look(value)

@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 
 from umbra.functions.dialect import Pattern, search
 from umbra.functions.entropy import byte_entropy_native, entropy_of, is_common_pattern, raw_bytes
+from umbra.functions.many import any_found_udf, many
 from umbra.operators.keys import blocked_column, is_blocked, is_safe, safe_column
-from umbra.operators.nested import ENTROPY_BIT, bit_of
+from umbra.operators.nested import ENTROPY_BIT, FOUND_BIT, bit_of
 from umbra.plans.registry import ColumnStrategy, named
 from umbra.profiles import BLOCKED, ENTROPY, LARGE_OBJECT, LARGE_STRING, REGEX, REMOVE, SAFE, Profile
 
@@ -60,6 +61,11 @@ def _known(profile: Profile, told: Column | None):
 
 
 def pattern_found(value: Column, profile: Profile, text: Text = Text(), nested: bool = False, told: Column | None = None) -> Column:
+    patterns = tuple(p for _, p in profile.patterns)
+    if many(patterns) and told is not None:
+        return told.bitwiseAND(F.lit(FOUND_BIT)) != 0
+    if many(patterns) and not nested:
+        return any_found_udf(patterns)(raw_bytes(value, text.charset))
     known = _known(profile, told)
     hit = lambda p: search(value, p, text.charset, nested) if (said := known(p)) is None else said
     return reduce(Column.__or__, (hit(p) for _, p in profile.patterns), F.lit(False))
