@@ -55,6 +55,27 @@ TEXTS = [
     "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-SA 4.0.\nLicensed under CC BY-NC 4.0.",
     "This work is licensed under the GNU General Public License, version 2.",
 ]
+ASF = """/*
+ * Licensed to the Apache Software Foundation (ASF) under one or more
+ * contributor license agreements.  See the NOTICE file distributed with
+ * this work for additional information regarding copyright ownership.
+ * The ASF licenses this file to You under the Apache License, Version 2.0
+ * (the "License"); you may not use this file except in compliance with
+ * the License.
+ */
+package example;
+"""
+NAMED = {
+    ASF: "Apache-2.0",
+    "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS": "Apache-2.0",
+    "#!/bin/sh\n# SPDX-License-Identifier: GPL-2.0-or-later\nexit": "GPL-2.0",
+    "// SPDX-License-Identifier: MIT\nint x;": "MIT",
+    "<!-- SPDX-License-Identifier: CC-BY-SA-4.0 -->": "CC-BY-SA-4.0",
+    "SPDX-License-Identifier: LicenseRef-Other": None,
+    "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright": "GPL-3.0",
+    "The version of June 2007 is a public document.": None,
+}
+TEXTS += NAMED
 
 
 def test_against_every_template(spark, odd):
@@ -65,6 +86,11 @@ def test_against_every_template(spark, odd):
     assert [r.licence for r in sorted(rows, key=lambda r: r.doc_id)[:3]] == ["BSD-2-Clause", "BSD-3-Clause", "LicenseRef-All-Rights-Reserved"]
 
 
+def test_headers_titles_and_identifiers(spark):
+    rows = scan(spark.createDataFrame(list(enumerate(NAMED)), "doc_id long, text string")).collect()
+    assert [r.licence for r in sorted(rows, key=lambda r: r.doc_id)] == list(NAMED.values())
+
+
 def test_bounds_and_keys_lose_nothing():
     for size in range(1, 60):
         lo, hi = size_bounds(size, THRESHOLD)
