@@ -92,7 +92,9 @@ def links(fps: DataFrame) -> DataFrame:
         mask = sum(0xFF << (8 * p) for p in positions)
         postings.append(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(signed(mask)))))
     listed = fps.select(F.explode(F.array(*postings)).alias("key"), "fp")
-    met = cut(listed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1"))
+    # Counted before they move, then joined back: a window would take a hot key's whole list into one task.
+    sizes = listed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(listed.join(sizes.hint("merge"), "key"))
     apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
     few = met.where(F.col("n") <= PAIR_LIST)
     pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b")
