@@ -15,10 +15,10 @@ bits apart share one.  So each is linked to the smallest at its code, at most 65
 fingerprints a code, and no link is lost.
 
 Sign bits can't find texts of a shingle similarity of 0.8: those differ in about ten of
-64 bits, in any byte.  With ``least`` the positional bytes are therefore those of
-minimum hashes, 100 of them, index keys are groups of four positions, the tally counts
-the shared bytes of a pair, and what reaches the minimum is verified on the shingles
-themselves (``near_copies``).
+64 bits, in any byte.  With ``least`` the links above are joined by those of texts of that
+similarity (``near_copies``): there the positional bytes are those of minimum hashes, 100
+of them, index keys are groups of four positions, the tally counts the shared bytes of a
+pair, and what reaches the minimum is verified on the shingles themselves.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from umbra.llm.common import arrow_batches, cut, inputs, join_per_key
 from umbra.llm.components import connected_components
+from umbra.llm.near_copies import SHINGLE as NEAR_SHINGLE
 from umbra.llm.near_copies import near_copies
 
 BITS, BYTES, SEED = 64, 8, 42
@@ -113,11 +114,11 @@ def links(fps: DataFrame) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float | None = None) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float | None = None, near_shingle: int = NEAR_SHINGLE) -> DataFrame:
     """One row for each row of ``df``: doc_id, fp, component_id.
 
-    With ``least`` links are between texts whose sets of shingles have that Jaccard
-    similarity, fp is null and ids have to number the rows.
+    With ``least`` texts whose sets of ``near_shingle``-word shingles have that Jaccard
+    similarity are linked as well, and ids have to number the rows.
 
     component_id is the smallest doc_id among all rows reachable over links of at most
     two differing bits.  Texts without words (null, empty, blank) have fingerprint 0
@@ -125,13 +126,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shingle.  Rows with a null id are linked too but lend no id: the component of only
     such rows is null.  Repeated rows each give a row.  An empty table gives none.
     """
-    if least is not None:
-        found = near_copies(df, id_col, text_col, shingle, least)
-        return found.select(F.col("id").alias("doc_id"), F.lit(None).cast("long").alias("fp"), "component_id")
     rows = cut(fingerprints(df, id_col, text_col, shingle))
     per_fp = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = cut(connected_components(links(per_fp.select("fp"))))
     placed = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     per_fp = cut(placed.join(ids, "root").select("fp", "component_id"))
-    return join_per_key(rows, per_fp, "fp").select("doc_id", "fp", "component_id")
+    found = join_per_key(rows, per_fp, "fp").select("doc_id", "fp", "component_id")
+    if least is None:
+        return found
+    # Components of both kinds of links: each row with the smallest id of its component, of each kind.
+    near = near_copies(df, id_col, text_col, near_shingle, least)
+    edges = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).union(near.select("id", "component_id"))
+    both = cut(connected_components(edges)).select(F.col("node").alias("doc_id"), F.col("root").alias("_root"))
+    return join_per_key(found, cut(both), "doc_id").select("doc_id", "fp", F.coalesce("_root", "doc_id").alias("component_id"))
