@@ -130,3 +130,16 @@ def test_file_source_reads_every_file(spark, tmp_path):
         (tmp_path / name).write_bytes(bytes(n))
     rows = file_source(spark, str(tmp_path)).collect()
     assert {r.name: (r.length, r.sha256) for r in rows} == {name: (n, hashlib.sha256(bytes(n)).hexdigest()) for name, n in sizes.items()}
+
+
+def test_a_large_file_is_digested_in_blocks(spark, tmp_path):
+    """A file source's task holds a block of a file, not the file: one beyond 2 GB fits no cell."""
+    with open(tmp_path / "large", "wb") as f:
+        f.truncate((2 << 30) + 5)
+    (tmp_path / "empty").write_bytes(b"")
+    want = hashlib.sha256()
+    for _ in range(2048):
+        want.update(bytes(1 << 20))
+    want.update(bytes(5))
+    got = {r.name: (r.length, r.sha256) for r in file_source(spark, str(tmp_path)).collect()}
+    assert got == {"large": ((2 << 30) + 5, want.hexdigest()), "empty": (0, hashlib.sha256(b"").hexdigest())}

@@ -29,7 +29,7 @@ from umbra.operators.scanning import report, scan_contents, scan_documents, stat
 from umbra.operators.typed import mask_frame
 from umbra.plans.registry import ColumnStrategy, PyStrategy, load_custom, named, register
 from umbra.profiles import ALL_RULES, BLOCKED, ENTROPY, LARGE_OBJECT, LARGE_STRING, PROFILES, REGEX, REMOVE, SAFE, Profile, available_profiles, from_config, load, profile_exists
-from umbra.sources.allfiles import read_files, shared_folder
+from umbra.sources.allfiles import digest_files, shared_folder
 from umbra.streaming.logs import batch_lines, log_lines, tap
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -544,7 +544,7 @@ def scan_status_table(spark, sf_dir):
 @query()
 def file_source(spark, sf_dir):
     """The tables' own files through the file source, every one whatever its size."""
-    return read_files(spark, [sf_dir], max_size=sys.maxsize).select(F.substring_index("path", "/", -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    return digest_files(spark, [sf_dir], max_size=sys.maxsize).select(F.substring_index("path", "/", -1).alias("name"), "length", "sha256")
 
 
 @query()
