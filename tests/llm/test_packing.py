@@ -61,3 +61,17 @@ def test_empty(none):
 def test_needs_a_power_of_two(odd):
     with pytest.raises(ValueError):
         packing.pack(odd, PATH, 1000)
+
+
+def test_words_with_a_mark_are_put_together():
+    """A word of letters and a mark takes the letters' ids, which are encoded once, and the mark's."""
+    from tokenizers import Tokenizer
+
+    from umbra.llm.packing import WordEncoder
+
+    raw = open(public.path("byte_bpe_50k.json"), encoding="utf-8").read()
+    words, one = WordEncoder(raw), Tokenizer.from_str(raw)
+    texts = ["Ein inwhtion. athawh, übel. é", " lead  two  wide .\n, x. ", "", " ", "a. ", "naïve,\nnext. İx. १. z'. it's, end."]
+    want = [one.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [[int.from_bytes(b[i : i + 4], "little") for i in range(0, len(b), 4)] for b in words.ids(texts)] == want
+    assert {"inwhtion", "inwhtion.", "übel"} <= words._kept.keys()

@@ -24,6 +24,8 @@ from umbra.llm.common import arrow_batches, cut, inputs, join_per_key, release
 
 #: Encodings that a task keeps, by word; then it starts anew.
 CACHE_WORDS = 400_000
+#: Marks that are parted from letters before them; letters are taken up to this character, before scripts of which Unicode's versions differ.
+MARKS, LETTERS_END = ".,", "\u0530"
 #: Characters of text that are encoded at a time.
 TEXT_RUN = 1 << 18
 #: A single space between two characters that are not white space: byte-level BPE of this
@@ -47,6 +49,7 @@ class WordEncoder:
         self._firsts: dict[str, bytes] = {}  # of words that begin a text
         self._kept: dict[str, bytes] = {}  # of words after a space, with that space
         special = {i: len(t.content.encode()) for i, t in one.get_added_tokens_decoder().items()}
+        self._marks = {m: self._encode(m).tobytes() for m in MARKS}
         # Byte-level pieces spell each byte as one character.
         self._bytes = np.zeros(max([*one.get_vocab().values(), *special]) + 1, dtype=np.int64)
         for piece, i in one.get_vocab().items():
@@ -73,25 +76,40 @@ class WordEncoder:
         self._kept.clear()
         self._firsts.clear()
 
+    def _learn(self, words: set[str]) -> None:
+        """Keep ``words``, which are not kept so far; of a word of letters and a mark, the letters' ids and the mark's are its own."""
+        kept = self._kept
+        stems = {w: w[:-1] for w in words if w[-1] in self._marks and w[:-1].isalpha() and max(w) < LETTERS_END}
+        self._keep(list(words.difference(stems).union(stems.values()).difference(kept)))
+        for w, stem in stems.items():
+            kept[w] = kept[stem] + self._marks[w[-1]]
+
     def ids(self, texts: list[str]) -> list[bytes]:
         kept, firsts = self._kept, self._firsts
-        parts = [_GAP.split(t) if t else [""] for t in texts]
+        parts = [t.split(" ") for t in texts]
         heads = [p.pop(0) for p in parts]
-        tails = [p.pop() if p else None for p in parts]  # may end in white space
+        new = set().union(*parts).difference(kept)
+        # Only heads and words that are not kept can have white space at an end or be empty: most texts are split as they should be.
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace()}
+        again = [i for i, (h, p) in enumerate(zip(heads, parts)) if p and (not h or h[-1].isspace()) or not odd.isdisjoint(p)]
+        for i in again:
+            heads[i], *parts[i] = _GAP.split(texts[i])
+        ends = [p.pop() if p and p[-1][-1].isspace() else None for p in parts]  # a text's last word may end in white space
         for h in heads:
             if h not in firsts:
                 if len(firsts) >= CACHE_WORDS // 10:
                     firsts.clear()
                 firsts[h] = self._encode(h).tobytes() if h else b""
         heads = [firsts[h] if h in firsts else self._encode(h).tobytes() for h in heads]
-        new = set().union(*parts).difference(kept)
+        if again:
+            new = set().union(*parts).difference(kept)
         if new:
             if len(kept) + len(new) > CACHE_WORDS:
                 kept.clear()
                 new = set().union(*parts)
-            self._keep(list(new))
-        tails = [b"" if t is None else kept[t] if t in kept else self._encode(f" {t}").tobytes() for t in tails]
-        return [h + b"".join([kept[w] for w in p]) + t for h, p, t in zip(heads, parts, tails)]
+            self._learn(new)
+        ends = [b"" if t is None else self._encode(f" {t}").tobytes() for t in ends]
+        return [h + b"".join([kept[w] for w in p]) + t for h, p, t in zip(heads, parts, ends)]
 
 
 @lru_cache(maxsize=1)
