@@ -60,3 +60,17 @@ def test_linked_lines_are_not_compared_again(monkeypatch):
     i, j = L.group_links(lines, np.zeros(len(lines), np.int64), L.PER, np.array(family))
     assert len(i) == 12 * 39 and all(family[a] == family[b] for a, b in zip(i, j))
     assert sum(seen) < 3 * len(lines)  # all pairs: 12 * 780
+
+
+def test_both_kinds_of_links_take_one_search_for_components(spark, monkeypatch):
+    """Each search is many plans that the driver holds."""
+    from umbra.llm import near_copies, simhash
+
+    calls, search = [], simhash.connected_components
+    for module in (simhash, near_copies):
+        monkeypatch.setattr(module, "connected_components", lambda edges: (calls.append(1), search(edges))[1])
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join(words[:-1]), "something else here", " ".join(words), None, " "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, least=0.8).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 0, 4: 4, 5: 4} and len(calls) == 1

@@ -158,6 +158,21 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     ``id_col`` numbers the rows: no nulls, no repeats.  Texts without words (null,
     empty, blank) are copies of each other.
     """
+    rows, per_set, found = _searched(df, id_col, text_col, shingle, least)
+    roots = cut(connected_components(found))
+    placed = cut(per_set.select("s1", "s2", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.struct("s1", "s2").alias("s"), F.coalesce("root", "id").alias("component_id")))
+    return join_per_key(rows.select("id", F.struct("s1", "s2").alias("s")), placed, "s").select("id", "component_id")
+
+
+def near_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """(a, b) of rows that are near copies: enough of them to keep every connection of ``near_copies``."""
+    rows, per_set, found = _searched(df, id_col, text_col, shingle, least)
+    copies = rows.join(per_set.select("s1", "s2", F.col("id").alias("b")), ["s1", "s2"]).where("id <> b")
+    return found.union(copies.select(F.col("id").alias("a"), "b"))
+
+
+def _searched(df: DataFrame, id_col: str, text_col: str, shingle: int, least: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows (id, s1, s2), their different sets by the smallest id, and the links (a, b) between sets."""
     rows = cut(_signatures(df, id_col, text_col, shingle))
     per_set = cut(rows.groupBy("s1", "s2").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("bytes").alias("bytes")))
     rows = rows.select("id", "s1", "s2")
@@ -182,6 +197,4 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         found, turn = new if found is None else found.union(new), turn + 1
     rest = _verified(_all_pairs(reduce(DataFrame.union, short)), sets, least)
     found = rest if found is None else found.union(rest)
-    roots = cut(connected_components(found.distinct()))
-    placed = cut(per_set.select("s1", "s2", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.struct("s1", "s2").alias("s"), F.coalesce("root", "id").alias("component_id")))
-    return join_per_key(rows.select("id", F.struct("s1", "s2").alias("s")), placed, "s").select("id", "component_id")
+    return rows, per_set, found.distinct()

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from umbra.llm.common import arrow_batches, cut, inputs, join_per_key
 from umbra.llm.components import connected_components
 from umbra.llm.near_copies import SHINGLE as NEAR_SHINGLE
-from umbra.llm.near_copies import near_copies
+from umbra.llm.near_copies import near_links
 
 BITS, BYTES, SEED = 64, 8, 42
 MAX_BITS = 2
@@ -128,15 +128,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     rows = cut(fingerprints(df, id_col, text_col, shingle))
     per_fp = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    if least is not None:
+        # Links of both kinds in one graph of rows: one search for its components.
+        ends = [per_fp.select(F.col("fp").alias(c), F.col("least").alias(i)) for c, i in (("a", "x"), ("b", "y"))]
+        edges = links(per_fp.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges = edges.union(rows.join(per_fp, "fp").where("doc_id <> least").select("doc_id", "least"))
+        roots = cut(connected_components(edges.union(near_links(df, id_col, text_col, near_shingle, least))))
+        return join_per_key(rows, roots.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "fp", F.coalesce("root", "doc_id").alias("component_id"))
     roots = cut(connected_components(links(per_fp.select("fp"))))
     placed = per_fp.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     per_fp = cut(placed.join(ids, "root").select("fp", "component_id"))
-    found = join_per_key(rows, per_fp, "fp").select("doc_id", "fp", "component_id")
-    if least is None:
-        return found
-    # Components of both kinds of links: each row with the smallest id of its component, of each kind.
-    near = near_copies(df, id_col, text_col, near_shingle, least)
-    edges = found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).union(near.select("id", "component_id"))
-    both = cut(connected_components(edges)).select(F.col("node").alias("doc_id"), F.col("root").alias("_root"))
-    return join_per_key(found, cut(both), "doc_id").select("doc_id", "fp", F.coalesce("_root", "doc_id").alias("component_id"))
+    return join_per_key(rows, per_fp, "fp").select("doc_id", "fp", "component_id")
